@@ -7,17 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import tokenize
+from quillspark.llm import chunking, tokenize
 from quillspark.sources.tables import table
 
 
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.pieces(table(spark, sf_dir, "text_raw"), table(spark, sf_dir, "features"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = chunking.pieces(table(spark, sf_dir, "text_raw"), table(spark, sf_dir, "features"), with_text=False)
+    return cut.where((F.col("piece_no") == 1) & (F.col("n_pieces") > 1)).select("text_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+P4_SQL = """
+WITH t AS (
+  SELECT text_id, arg_max(text, received_at) AS text FROM text_raw GROUP BY text_id
+), f AS (
+  SELECT text_id, tokens_per_chunk FROM features
+  QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY computed_at DESC) = 1
+)
+SELECT text_id FROM t JOIN f USING (text_id)
+WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) > tokens_per_chunk
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids}
+    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": P4_SQL}
