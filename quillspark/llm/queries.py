@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunking, tokenize
+from quillspark.llm import chunking, quality, tokenize
 from quillspark.sources.tables import table
 
 
@@ -36,9 +36,37 @@ WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) > tokens_per_chunk
 """
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.found(table(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "documents"))
+
+
+def p8_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.layout(table(spark, sf_dir, "documents"))
+
+
+_KNOWN = ", ".join(f"'{w}'" for w in sorted(quality.COMMON))
+P8_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda x: length(trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'))) > 0) AS lines
+  FROM documents
+)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN len(words) END AS n_words,
+       round(list_sum(list_transform(words, lambda x: length(x))) / nullif(len(words), 0), 6) AS mean_word_length,
+       round(length(regexp_replace(text, '[\p{{L}}\p{{N}}_\s]', '', 'g')) / nullif(length(text), 0), 6) AS symbol_ratio,
+       round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;,]["''”’»)]*[ \t\r\f]*$'))) / nullif(len(lines), 0), 6) AS ended_lines,
+       round(len(list_filter(words, lambda x: x IN ({_KNOWN}))) / nullif(len(words), 0), 6) AS common_share
+FROM w
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids}
+    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return {"p4_found": P4_SQL, "p8_statistics": P8_SQL}
