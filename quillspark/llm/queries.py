@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunking, quality, tokenize
+from quillspark.llm import chunking, names, quality, tokenize
 from quillspark.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs(names.link(table(spark, sf_dir, "metadata")))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pieces(table(spark, sf_dir, "text_raw"), table(spark, sf_dir, "features"))
 
@@ -65,7 +69,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
