@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,15 @@ BULLET = re.compile(r"\s*(?:[-–—*•·▪◦‣○●►➤>+#~]+|\[[ xX]?\]
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 TAG = re.compile(r"<[a-zA-Z/!][^<>]{0,200}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|\{\{[^{}]{0,40}\}\}|\[\[|\]\]")
 NUMBER = re.compile(r"^[\s\"']*[-+]?[\d.,:/%$€£]*\d[\d.,:/%$€£]*[\s\"']*$|^\s*(?:-|–|—|NA|N/A|n/a|NaN|null|\.)?\s*$")
+MARKS = re.compile(r"[^\w\s.,;:!?'\"“”‘’„»«()\-–—…]")
+#: Letters and signs of Latin-1 that the languages at hand hardly use.
+ODD = re.compile("[\xa1-\xff](?<![äöüßÄÖÜàâáéèêëíîïóôòúûùæøåñçÀÂÁÉÈÊËÍÎÏÓÔÚÛÙÆØÅÑÇ«»¿¡§°])")
+INLINE = (re.compile(r"\s*[/|;•·¦]\s+|\s+[/|•·–—-]\s+|;\s*"), re.compile(r",\s+"))
 VOWELS = frozenset("aeiouyäöüàâáéèêëíîïóôòúûùæœøåAEIOUYÄÖÜÀÂÁÉÈÊËÍÎÏÓÔÒÚÛÙÆŒØÅ")
 END = re.compile(r"[.!?…:;,][\"'”’“‘»«)\]]*\s*$")
+GAP = re.compile(r"\S {2,}\S")
+RULE = re.compile(r"[\s|¦+:=\-_–—.]*")
+BREAK = re.compile(r"\r\n?|[\f\v\x85\u2028\u2029]")
 STOP = re.compile(r"[.!?…][\"'”’“‘»«)\]]*\s*$")
 DELIMITERS = ("|", "¦", "\t", ";", ",", "/", "~", "^", "‖")
 
@@ -53,6 +61,7 @@ def _cells(line: str, d: str) -> list[str]:
     return line.split(d)
 
 
+@lru_cache(maxsize=200_000)
 def _readable(w: str) -> bool:
     """Has the vowels of a word that can be spoken; scripts without such letters pass."""
     if len(w) == 1 or ord(w[0]) > 0x2FF:
@@ -61,17 +70,27 @@ def _readable(w: str) -> bool:
     return v > 0 and v / len(w) >= 0.18 and (len(w) < 30)
 
 
+@lru_cache(maxsize=200_000)
+def _sort(w: str) -> int:
+    """1 a common word, 2 another word in lower case, 0 any other."""
+    return 1 if w.lower() in COMMON else 2 if w[0].islower() else 0
+
+
 def _prose(words: list[str]) -> bool:
     """Does a stretch read as running text: common words inside, between words in lower case."""
     if len(words) < 4:
         return False
-    common = sum(w.lower() in COMMON for w in words[1:])
-    caps = sum(w[0].isupper() for w in words[1:])
+    sorts = [_sort(w) for w in words]
+    first = sorts[0]
+    common = sorts.count(1) - (first == 1)
     if common == 0:
         return False
+    plain = sorts.count(2) - (first == 2)
+    if plain >= 2 and common >= 2 and common + plain >= 0.3 * len(words):
+        return True
+    caps = sum(w[0].isupper() for w in words[1:])
     if all(w.isupper() for w in words if len(w) > 1):
         return common >= 2 or len(words) >= 5
-    plain = sum(1 for w in words[1:] if w[0].islower() and w.lower() not in COMMON)
     return plain >= 1 and (common >= 2 or plain >= 2 or caps * 2 < len(words)) and common + plain >= 0.3 * len(words)
 
 
@@ -93,15 +112,16 @@ def _columns(lines: list[str]) -> float:
 
 def describe(text: str) -> tuple:
     """The layout statistics of one text that isn't blank; see FIELDS."""
-    text = re.sub(r"\r\n?|[\f\v\x85  ]", "\n", text).replace(" ", " ")
+    text = BREAK.sub("\n", text).replace("\xa0", " ")
     raw = [x for x in text.split("\n") if x.strip()]
     total = sum(len(x.strip()) for x in raw) or 1
-    bare = TAG.sub(" ", text)
-    tags = sum(len(x) for x in TAG.findall(text)) / len(text)
+    marked = TAG.findall(text) if "<" in text or "&" in text or "{{" in text or "[[" in text or "]]" in text else []
+    bare = TAG.sub(" ", text) if marked else text
+    tags = sum(map(len, marked)) / len(text)
     words = WORD.findall(bare)
     letters = sum(map(len, words))
-    marks = len(re.findall(r"[^\w\s.,;:!?'\"“”‘’„»«()\-–—…]", text))
-    solid = len(re.sub(r"\s", "", text)) or 1
+    marks = len(MARKS.findall(text))
+    solid = sum(map(len, text.split())) or 1
     lengths = np.array([len(x.rstrip()) for x in raw], dtype=float)
     dev = lengths - lengths.mean()
     auto = float((dev[:-1] * dev[1:]).sum() / (dev**2).sum()) if len(raw) > 2 and (dev**2).sum() > 0 else 0.0
@@ -111,9 +131,11 @@ def describe(text: str) -> tuple:
 
     # tables: the best delimiter, by the text that lies on lines of its most frequent number of columns
     table, table_lines, kind = 0.0, 0, ""
-    rule = [bool(re.fullmatch(r"[\s|¦+:=\-_–—.]*", x)) for x in raw]
+    rule = [bool(RULE.fullmatch(x)) for x in raw]
     body = [x for x, r in zip(raw, rule) if not r]
     for d in DELIMITERS:
+        if text.count(d) < 2 * min(3, len(body)):
+            continue
         cells = [_cells(x, d) if d in x else () for x in body]
         freq = Counter(len(c) for c in cells if len(c) >= 3)
         if not freq:
@@ -129,7 +151,7 @@ def describe(text: str) -> tuple:
         share = sum(len(x.strip()) for x, _ in rows) / total
         if share > table:
             table, table_lines, kind = share, n, d
-    gaps = [x for x in body if re.search(r"\S {2,}\S", x)]
+    gaps = [x for x in body if GAP.search(x)] if "  " in text else []
     if len(gaps) >= 3:
         share = sum(len(x.strip()) for x in gaps) / total
         parts = [re.split(r" {2,}", x.strip()) for x in gaps]
@@ -148,36 +170,37 @@ def describe(text: str) -> tuple:
         w = WORD.findall(x[m.end() :] if m else x)
         size = len(x.strip())
         bullets += bool(m)
-        stops += bool(STOP.search(x))
-        if _prose(w) and not (m and len(w) <= 9 and not STOP.search(x)):
+        stop = bool(STOP.search(x[-12:]))
+        stops += stop
+        if _prose(w) and not (m and len(w) <= 9 and not stop):
             prose += size
-        elif w and len(w) <= 9 and not STOP.search(x) and (m or x.strip()[0].isupper() or not x.strip()[0].isalpha() or len(w) <= 4):
+        elif w and len(w) <= 9 and not stop and (m or x.strip()[0].isupper() or not x.strip()[0].isalpha() or len(w) <= 4):
             entry += size
             entries += 1
     # a row of short entries within lines
     inline = 0.0
     parts_n = 0
-    for d in (r"\s*[/|;•·¦]\s+|\s+[/|•·–—-]\s+|;\s*", r",\s+"):
-        size = n = 0
-        for x in raw:
-            parts = [p for p in re.split(d, x.strip()) if p.strip()]
-            if len(parts) >= 4:
-                short = [p for p in parts if len(w := WORD.findall(p)) <= 6 and not _prose(w)]
-                low = [p for p in short if any(c[0].islower() and c.lower() not in COMMON for c in WORD.findall(p))]
-                if len(short) >= 0.85 * len(parts) and (len(low) <= 0.5 * len(short)):
-                    size += len(x.strip())
-                    n += len(parts)
-        if size / total > inline:
-            inline, parts_n = size / total, n
+    if prose < 0.5 * total:
+        for d in INLINE:
+            size = n = 0
+            for x in raw:
+                parts = [p for p in d.split(x.strip()) if p.strip()]
+                if len(parts) >= 4:
+                    short = [w for p in parts if len(w := WORD.findall(p)) <= 6 and not _prose(w)]
+                    low = sum(any(_sort(c) == 2 for c in w) for w in short)
+                    if len(short) >= 0.85 * len(parts) and low <= 0.5 * len(short):
+                        size += len(x.strip())
+                        n += len(parts)
+            if size / total > inline:
+                inline, parts_n = size / total, n
 
     # readable words
-    good = [w for w in words if _readable(w)]
-    lone = sum(1 for w in words if len(w) == 1)
-    readable = sum(map(len, good)) / solid
-    common = sum(w.lower() in COMMON for w in words) / len(words) if words else 0.0
-    latin = sum(1 for c in text if "\xa1" <= c <= "\xff" and c not in "äöüßÄÖÜàâáéèêëíîïóôòúûùæøåñçÀÂÁÉÈÊËÍÎÏÓÔÚÛÙÆØÅÑÇ«»¿¡§°–")
-    odd = latin / solid
-    distinct = len({w.lower() for w in words}) / len(words) if words else 0.0
+    counts = Counter(words)
+    lone = sum(n for w, n in counts.items() if len(w) == 1)
+    readable = sum(len(w) * n for w, n in counts.items() if _readable(w)) / solid
+    common = sum(n for w, n in counts.items() if _sort(w) == 1) / len(words) if words else 0.0
+    odd = len(ODD.findall(text)) / solid
+    distinct = len({w.lower() for w in counts}) / len(words) if words else 0.0
     longest = max((len(x) for x in text.split()), default=0) / total
     return (len(words), common, letters / solid, marks / solid, tags, readable, odd, distinct, lone / len(words) if words else 1.0, longest, len(raw), bullets / len(raw), stops / len(raw), table, table_lines, prose / total, entry / total, entries, inline, parts_n, auto, period)
 
