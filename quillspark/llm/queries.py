@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunking, names, quality, tokenize
+from quillspark.llm import chunking, clusters, names, quality, tokenize
 from quillspark.sources.tables import table
 
 
@@ -15,6 +15,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(names.link(table(spark, sf_dir, "metadata")))
 
 
+def _feature_columns(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if c.endswith("_full") and kind == "double"]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "features")
+    members, _ = clusters.clusters(df, _feature_columns(df))
+    return clusters.pairs(members)
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "features")
+    return clusters.clusters(df, _feature_columns(df))[1]
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pieces(table(spark, sf_dir, "text_raw"), table(spark, sf_dir, "features"))
 
@@ -69,7 +84,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
