@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunking, clusters, names, quality, tokenize
+from quillspark.llm import chunking, clusters, names, quality, splits, tokenize
 from quillspark.sources.tables import table
 
 
@@ -30,6 +30,14 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clusters(df, _feature_columns(df))[1]
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.groups(table(spark, sf_dir, "metadata")).where("first_text_id <> text_id")
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign(splits.groups(table(spark, sf_dir, "metadata")), {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pieces(table(spark, sf_dir, "text_raw"), table(spark, sf_dir, "features"))
 
@@ -84,7 +92,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
