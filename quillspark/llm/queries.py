@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunking, clusters, names, quality, splits, tokenize
+from quillspark.llm import chunking, clusters, leaks, names, quality, splits, tokenize
 from quillspark.sources.tables import table
 
 
@@ -63,6 +63,10 @@ WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+')) > tokens_per_chunk
 """
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.found(table(spark, sf_dir, "documents"))
 
@@ -92,7 +96,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
