@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chunking, clusters, leaks, names, quality, splits, tokenize
+from quillspark.llm import chunking, clusters, leaks, names, quality, scans, splits, tokenize
 from quillspark.sources.tables import table
 
 
@@ -47,6 +47,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.where((F.col("piece_no") == 1) & (F.col("n_pieces") > 1)).select("text_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(table(spark, sf_dir, "text_raw"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "text_raw"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -96,7 +104,7 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
