@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules of quillspark.plans that register queries.
+MODULES = ("text_queries", "ngram_queries")
+
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
@@ -21,8 +24,18 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_sql)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"quillspark.plans.{name}")
