@@ -99,15 +99,17 @@ def overview(edges: DataFrame, every: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(alone))
 
 
-def bfs(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:
+def bfs(edges: DataFrame, start: DataFrame, most: int | None = None, rounds: int = 1000) -> DataFrame:
     """(start, node, hops): the fewest edges from each start to each node it reaches, itself 0.
 
-    A frontier join a level, written to the shared folder; ends when a level is empty.
+    A frontier join a level, written to the shared folder; ends when a level is empty, or after most levels.
     """
     seen = start.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"))
     front = seen
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     for level in range(1, rounds):
+        if most is not None and level > most:
+            return seen
         new = front.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         front = written(new.withColumn("hops", F.lit(level)))
         if front.isEmpty():

@@ -91,23 +91,20 @@ register("crosstab_binned", lambda s, d: md(s, d).withColumn("y", yr()).where("y
 
 
 def names_match(s, d):
-    """File names of documents without a text of that name, each with the closest author's file names by edit distance, up to 4.
+    """Each spelling of an author in file names with the closest other one, up to 4 edits apart.
 
-    Candidates share the title and year, so names are only compared within one work.
+    Names are compared if they share the first three letters of the surname and the first of the given name.
     """
-    tail = lambda c: F.array_join(F.slice(F.split(c, "_"), 3, 2), "_")
     ascii_ = lambda c: F.regexp_replace(F.translate(c, "äöüÄÖÜßé", "aouAOUse"), r"[^\x00-\x7f]", "?")
-    raw = table(s, d, "text_raw").select("file_name").distinct()
-    lost = md(s, d).select("file_name").distinct().join(raw, "file_name", "left_anti")
-    a = lost.select("file_name", tail(F.col("file_name")).alias("work"))
-    b = raw.select(F.col("file_name").alias("other"), tail(F.col("file_name")).alias("work"))
-    near = a.join(b, "work").withColumn("dist", F.levenshtein(ascii_(F.col("file_name")), ascii_(F.col("other")))).where("dist <= 12")
-    w = Window.partitionBy("file_name").orderBy("dist", "other")
-    return near.withColumn("r", F.row_number().over(w)).where("r = 1").select("file_name", "other", F.col("dist").cast("long").alias("dist"))
+    names = md(s, d).where("file_name IS NOT NULL").select(fa().alias("name")).distinct().withColumn("a", ascii_(F.col("name")))
+    keyed = names.select("name", "a", F.left("a", F.lit(3)).alias("k"), F.left(F.element_at(F.split("a", "_"), -1), F.lit(1)).alias("g"))
+    near = keyed.join(keyed.select(F.col("name").alias("other"), F.col("a").alias("b"), "k", "g"), ["k", "g"]).where("name <> other").withColumn("dist", F.levenshtein("a", "b")).where("dist <= 4")
+    w = Window.partitionBy("name").orderBy("dist", "other")
+    return near.withColumn("r", F.row_number().over(w)).where("r = 1").select("name", "other", F.col("dist").cast("long").alias("dist"))
 
 
-ASC = lambda c: f"regexp_replace(translate({c}, 'äöüÄÖÜßé', 'aouAOUse'), '[^\\x00-\\x7f]', '?', 'g')"
-register("levenshtein_match", names_match, f"WITH raw AS (SELECT DISTINCT file_name AS other FROM text_raw), lost AS (SELECT DISTINCT file_name FROM metadata WHERE file_name NOT IN (SELECT other FROM raw WHERE other IS NOT NULL)), p AS (SELECT file_name, other, levenshtein({ASC('file_name')}, {ASC('other')}) AS dist FROM lost JOIN raw ON array_to_string(string_split(file_name, '_')[3:4], '_') = array_to_string(string_split(other, '_')[3:4], '_')) SELECT file_name, other, dist FROM p WHERE dist <= 12 QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY dist, other) = 1")
+ASC = f"regexp_replace(translate({FA}, 'äöüÄÖÜßé', 'aouAOUse'), '[^\\x00-\\x7f]', '?', 'g')"
+register("levenshtein_match", names_match, f"WITH n AS (SELECT DISTINCT {FA} AS name, {ASC} AS a FROM metadata WHERE file_name IS NOT NULL), p AS (SELECT x.name, y.name AS other, levenshtein(x.a, y.a) AS dist FROM n x JOIN n y ON left(x.a, 3) = left(y.a, 3) AND left(list_last(string_split(x.a, '_')), 1) = left(list_last(string_split(y.a, '_')), 1) AND x.name <> y.name) SELECT name, other, dist FROM p WHERE dist <= 4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY dist, other) = 1")
 
 
 # labels and validation

@@ -86,15 +86,20 @@ register("feature_merge", lambda s, d: X.merged(docs(s, d)), f"WITH {G1}, {FEATS
 def book_chunks(s, d):
     """Features of the chunks of ten sentences, and of the whole documents."""
     sents = segment.sentence_rows(docs(s, d)).withColumn("chunk_idx", F.floor(F.col("sent_idx") / 10))
-    c = sents.withColumn("n", F.size(F.split("sentence", WS))).groupBy("doc_id", "chunk_idx").agg(F.round(F.avg("n"), 6).alias("len_chunk"), F.count("*").alias("sents_chunk"))
+    c = sents.withColumn("n", F.size(F.split("sentence", WS))).groupBy("doc_id", "chunk_idx").agg(F.avg("n").alias("len_chunk"), F.count("*").alias("sents_chunk"))
     return c
 
 
+def rounded_chunks(s, d):
+    return book_chunks(s, d).withColumn("len_chunk", F.round("len_chunk", 6))
+
+
+
 CH_SQL = f"c AS (SELECT doc_id, sent_idx // 10 AS chunk_idx, round(avg(len(string_split_regex(sentence, '{WS}'))), 6) AS len_chunk, count(*) AS sents_chunk FROM ({SENTS}) GROUP BY doc_id, sent_idx // 10)"
 register("features_book", lambda s, d: X.merged(docs(s, d)).toDF("doc_id", "comma_full", "exclamation_full", "entropy_full", "ttr_full", "longest_full"), f"WITH {G1}, {FEATS} SELECT doc_id, comma AS comma_full, exclamation AS exclamation_full, entropy AS entropy_full, ttr AS ttr_full, longest AS longest_full FROM f JOIN h USING (doc_id)")
-register("features_chunk", book_chunks, f"WITH {CH_SQL} SELECT * FROM c")
-register("features_baac", lambda s, d: X.merged(docs(s, d)).join(book_chunks(s, d).groupBy("doc_id").agg(F.round(F.avg("len_chunk"), 3).alias("len_chunk"), F.round(F.avg("sents_chunk"), 6).alias("sents_chunk")), "doc_id").select("doc_id", "entropy", "ttr", "len_chunk", "sents_chunk"), f"WITH {G1}, {FEATS}, {CH_SQL} SELECT doc_id, entropy, ttr, round(avg(len_chunk), 3) AS len_chunk, round(avg(sents_chunk), 6) AS sents_chunk FROM h JOIN c USING (doc_id) GROUP BY doc_id, entropy, ttr")
-register("features_cacb", lambda s, d: book_chunks(s, d).join(X.merged(docs(s, d)).select("doc_id", "entropy", "ttr"), "doc_id", "full"), f"WITH {G1}, {FEATS}, {CH_SQL} SELECT doc_id, chunk_idx, len_chunk, sents_chunk, entropy, ttr FROM c FULL JOIN h USING (doc_id)")
+register("features_chunk", rounded_chunks, f"WITH {CH_SQL} SELECT * FROM c")
+register("features_baac", lambda s, d: X.merged(docs(s, d)).join(book_chunks(s, d).groupBy("doc_id").agg(F.round(F.avg("len_chunk"), 6).alias("len_chunk"), F.round(F.avg("sents_chunk"), 6).alias("sents_chunk")), "doc_id").select("doc_id", "entropy", "ttr", "len_chunk", "sents_chunk"), f"WITH {G1}, {FEATS}, {CH_SQL.replace('round(avg(len(string_split_regex(sentence, ' + chr(39) + WS + chr(39) + '))), 6)', 'avg(len(string_split_regex(sentence, ' + chr(39) + WS + chr(39) + ')))')} SELECT doc_id, entropy, ttr, round(avg(len_chunk), 6) AS len_chunk, round(avg(sents_chunk), 6) AS sents_chunk FROM h JOIN c USING (doc_id) GROUP BY doc_id, entropy, ttr")
+register("features_cacb", lambda s, d: rounded_chunks(s, d).join(X.merged(docs(s, d)).select("doc_id", "entropy", "ttr"), "doc_id", "full"), f"WITH {G1}, {FEATS}, {CH_SQL} SELECT doc_id, chunk_idx, len_chunk, sents_chunk, entropy, ttr FROM c FULL JOIN h USING (doc_id)")
 FCOLS = ["average_sentence_length_full", "average_word_length_full", "type_token_ratio_full", "unigram_entropy_full", "bigram_entropy_full", "trigram_entropy_full", "ratio_of_punctuation_full", "average_paragraph_length_full", "dialogue_share_full", "function_word_share_full", "comma_rate_full", "longest_word_full", "verb_share_full", "name_share_full", "intra_variance_full", "overlap_score_full"]
 feat = lambda s, d: table(s, d, "features")
 register("feature_null_profile", lambda s, d: X.null_profile(feat(s, d), FCOLS), " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS n_null, count(*) FILTER (WHERE {c} = 0) AS n_zero, count(*) FILTER (WHERE {c} < 0) AS n_negative, count(DISTINCT {c}) AS n_distinct FROM features" for c in FCOLS))
