@@ -52,13 +52,15 @@ def boundary_letters(text: Column) -> Column:
 def _piece_pattern(limit: Column, fresh: Column) -> Column:
     """Alternatives ordered by strength, for the first piece and for those with an overlap before them."""
 
-    def part(most: Column) -> Column:
-        low, high = F.greatest(F.lit(1), F.ceil(most / 2).cast("int")).cast("string"), most.cast("string")
+    def part(most: Column, least: Column) -> Column:
+        low, high = F.greatest(least, F.ceil(most / 2).cast("int")).cast("string"), most.cast("string")
         ends = [F.concat(F.lit(".{1,"), high, F.lit("}\\z"))]
         ends += [F.concat(F.lit(".{"), low, F.lit(","), high, F.lit("}(?<=" + x + ")")) for x in "PSCL"]
         return F.concat_ws("|", *ends, F.concat(F.lit(".{1,"), high, F.lit("}")))
 
-    return F.concat(F.lit("\\A(?:"), part(limit), F.lit(")|(?:"), part(fresh), F.lit(")"))
+    # the first piece must hold what the second repeats
+    first = part(limit, F.greatest(limit - fresh, F.lit(1)))
+    return F.concat(F.lit("\\A(?:"), first, F.lit(")|(?:"), part(fresh, F.lit(1)), F.lit(")"))
 
 
 def latest(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
