@@ -14,7 +14,8 @@ with the fuller name beside it, and may therefore belong to several persons of a
 without joining them; where a record has none, it goes to the only entity it fits, if there
 is exactly one.
 
-Which given names are short forms is learned from the records that have both forms, and
+Which given names are short forms is learned from the records that have both forms, which are
+names of their own from their spread over surnames or a record that has them twice, and
 which of two tokens is the given name from the number of partners each has in the corpus.
 
 Odd input: null, empty and blank authors and null file names are no names; values that name
@@ -292,8 +293,10 @@ def link(df: DataFrame, use_viaf: bool = True, **columns: str) -> Linked:
     seen = forms.select(F.col("less").alias("rest"), F.when(F.length("less") < F.length("more"), F.col("n")).otherwise(0).alias("as_short"), F.when(F.length("less") < F.length("more"), 0).otherwise(F.col("n")).alias("as_full"))
     seen = seen.unionByName(forms.where(F.length("less") < F.length("more")).select(F.col("more").alias("rest"), F.lit(0).alias("as_short"), F.col("n").alias("as_full")))
     seen = seen.groupBy("rest").agg(F.sum("as_short").alias("as_short"), F.sum("as_full").alias("as_full"))
+    alike = both.where("kind_a = 'person' AND NOT short_a AND NOT short_f AND rest_a = rest_f").groupBy(F.col("rest_a").alias("rest")).agg(F.count("*").alias("alike"))
     spread = flat.where("kind = 'person' AND NOT short").groupBy("rest").agg(F.countDistinct("core").alias("spread"))
-    lexicon = spread.join(seen, "rest", "full").select("rest", (F.coalesce("as_short", F.lit(0)) > F.coalesce("as_full", F.lit(0))).alias("learned_short"), (F.coalesce("spread", F.lit(0)) >= 3).alias("spread"))
+    lexicon = spread.join(seen, "rest", "full").join(alike, "rest", "left")
+    lexicon = lexicon.select("rest", (F.coalesce("as_short", F.lit(0)) > F.coalesce("as_full", F.lit(0))).alias("learned_short"), ((F.coalesce("spread", F.lit(0)) >= 3) | (F.coalesce("alike", F.lit(0)) >= 1)).alias("spread"))
     flat = flat.join(lexicon, "rest", "left")
     nick = F.col("rest").isin(sorted(NICKNAMES))
     short = F.col("short") | (F.length("rest") <= 2) | F.coalesce("learned_short", F.lit(False)) | nick
