@@ -231,8 +231,9 @@ def kind_of() -> Column:
     c = F.col
     repeated = (c("n_words") >= 12) & (c("distinct") < 0.12) & (c("prose_share") < 0.3)
     remains = (c("prose_share") <= 0.1) & (c("common") < 0.15) & (c("n_words") >= 5) & (c("distinct") < 0.7)
+    menu = (c("prose_share") <= 0.1) & (c("common") < 0.15) & (c("distinct") < 0.45) & (c("entries") < 3) & c("n_words").between(8, 300)
     solid = (c("longest") >= 0.5) & (c("readable") < 0.75) & (c("common") < 0.06)
-    junk = (c("tags") >= 0.35) | (c("readable") < 0.5) | (c("odd") >= 0.12) | solid | repeated
+    junk = (c("tags") >= 0.35) | (c("readable") < 0.5) | (c("odd") >= 0.12) | solid | repeated | menu
     table = (c("table_share") >= 0.65) & (c("table_lines") >= 2)
     listed = (c("prose_share") <= 0.35) & ((c("entries") >= 3) & (c("entry_share") >= 0.6) | (c("inline_parts") >= 4) & (c("inline_share") >= 0.6))
     return F.when(table & (c("tags") < 0.35), "table").when(junk, "junk").when(listed, "list").when(remains, "junk")
