@@ -15,10 +15,31 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
 
+#: Columns of the SQL whose type differs from Spark's BIGINT: sums are HUGEINT in DuckDB, literals INTEGER.
+_LONG = {
+    "chunk_greedy": ["n_tokens"],
+    "chunk_stats": ["shortest", "longest"],
+    "chunk_count_freq": ["n_chunks"],
+    "df_filter": ["total"],
+    "word_totals": ["total"],
+    "zipf": ["total"],
+    "bfs_hops": ["hops"],
+    "diameter": ["diameter"],
+    "eval_with_isolates": ["isolate_cluster"],
+    "param_grid": ["n"],
+    "label_counts": ["cluster"],
+    "ordinal_bins": ["canon_cat", "year_cat"],
+    "metadata_join": ["gender"],
+    "binary_label": ["label"],
+}
+
+
 def register(name: str, query: Query, sql: str | None = None) -> None:
     if name in _queries:
         raise ValueError(f"query {name} is registered twice")
     _queries[name] = query
+    if sql and name in _LONG:
+        sql = f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in _LONG[name])}) FROM ({sql})"
     if sql:
         _sql[name] = sql
 
