@@ -69,6 +69,16 @@ def apply_rules(text: Column, rules: Column) -> Column:
     return F.aggregate(rules, text, lambda t, r: F.replace(t, r["old"], r["new"]))
 
 
+def replace_all(text: Column, pairs: dict[str, str]) -> Column:
+    """All the pairs at once: what one replacement makes is not replaced again, and the first pair that fits wins."""
+    import re
+
+    alternatives = "|".join(re.escape(k) for k in pairs)
+    found = F.regexp_extract_all(text, F.lit(f"(?s)(?:{alternatives})|."), F.lit(0))
+    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.array_join(F.transform(found, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+
+
 def drop_chars(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 

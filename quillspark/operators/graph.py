@@ -80,6 +80,18 @@ def degrees(edges: DataFrame, digits: int = 4) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.round(F.sum("w"), digits).alias("strength"))
 
 
+def authorship(edges: DataFrame) -> DataFrame:
+    """(node, others, share, first_hit, hit) for texts of authors with others: the share of the author's other texts among
+    as many nearest ones, whether the nearest is one, and the rank of the first. Ties by name."""
+    w = Window.partitionBy("src").orderBy(F.desc("w"), "dst")
+    ranked = edges.withColumn("_r", F.row_number().over(w)).withColumn("_own", author("src") == author("dst"))
+    others = edges.where(author("src") == author("dst")).groupBy("src").agg(F.count("*").alias("others"))
+    top = ranked.join(others, "src").groupBy(F.col("src").alias("node"), "others")
+    hit = F.sum(F.when(F.col("_own") & (F.col("_r") <= F.col("others")), 1).otherwise(0))
+    first = F.min(F.when(F.col("_own"), F.col("_r")))
+    return top.agg(F.round(hit / F.col("others"), 6).alias("share"), first.cast("long").alias("first_hit")).withColumn("hit", F.col("first_hit") == 1)
+
+
 def asymmetric(edges: DataFrame) -> DataFrame:
     """(n): edges without an equal one back; 0 for an undirected graph."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w"))

@@ -197,3 +197,17 @@ db = lambda s, d: G.dbscan(net(s, d), every(s, d), 0.05, 5)
 register("dbscan_core", lambda s, d: db(s, d).where("core").select("node"), f"WITH {DB} SELECT node FROM co")
 register("dbscan_labels", lambda s, d: db(s, d).select("node", "label"), f"WITH {DB}, bd AS (SELECT src AS node, min(label) AS label FROM nr JOIN lb ON lb.node = nr.dst GROUP BY src) SELECT n.node, coalesce(lb.label, bd.label) AS label FROM n LEFT JOIN lb USING (node) LEFT JOIN bd ON bd.node = n.node")
 register("hclust_single", lambda s, d: components(written(net(s, d).where("w >= 0.97")).unionByName(every(s, d).select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))), "src", "dst"), "WITH " + NET.replace("g AS (", "RECURSIVE g AS (", 1) + ", h AS (SELECT src, dst FROM e WHERE w >= 0.97), rr AS (SELECT node, node AS hit FROM n UNION SELECT rr.node, h.dst FROM rr JOIN h ON h.src = rr.hit) SELECT node, min(hit) AS component FROM rr GROUP BY node")
+register("authorship_attribution", lambda s, d: G.authorship(net(s, d)), f"WITH {NET}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS r, split_part(src, '/', 1) = split_part(dst, '/', 1) AS own FROM e), o AS (SELECT src, count(*) AS others FROM r WHERE own GROUP BY src) SELECT src AS node, others, round(count(*) FILTER (WHERE own AND r <= others) / others, 6) AS share, min(r) FILTER (WHERE own) AS first_hit, min(r) FILTER (WHERE own) = 1 AS hit FROM r JOIN o USING (src) GROUP BY src, others")
+
+
+def stats_rollup(s, d):
+    """Most, fewest and mean edges over the thresholds of a sparsifier."""
+    e = net(s, d)
+    rows = None
+    for q in (0.8, 0.9, 0.95):
+        one = G.threshold(e, q).agg(F.count("*").alias("n"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.agg(F.max("n").alias("most"), F.min("n").alias("fewest"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+register("network_stats_rollup", stats_rollup, f"WITH {NET}, q AS (SELECT unnest([0.8, 0.9, 0.95]) AS p), c AS (SELECT p, CASE p WHEN 0.8 THEN (SELECT quantile_cont(w, 0.8) FROM e WHERE src < dst) WHEN 0.9 THEN (SELECT quantile_cont(w, 0.9) FROM e WHERE src < dst) ELSE (SELECT quantile_cont(w, 0.95) FROM e WHERE src < dst) END AS cut FROM q), k AS (SELECT p, count(*) AS n FROM e JOIN c ON w >= cut GROUP BY p) SELECT max(n) AS most, min(n) AS fewest, round(avg(n), 6) AS mean FROM k")
