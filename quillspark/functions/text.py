@@ -93,5 +93,10 @@ def ratio(a: Column, b: Column, digits: int = 6) -> Column:
     return F.round(a / F.nullif(b, F.lit(0)), digits)
 
 
+def let(value: Column, f) -> Column:
+    """f of value, with value computed once: an expression used inside a lambda is otherwise computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def chain(text: Column, *steps) -> Column:
     return reduce(lambda t, f: f(t), steps, text)

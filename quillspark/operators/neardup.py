@@ -20,7 +20,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     n - ceil(least n) + 1 of each share one. All candidates are verified, so no link is lost. Texts shorter
     than a shingle, null and empty ones are classes of their own.
     """
-    sets = df.select(F.col(key), F.transform(F.array_distinct(grams(T.words(F.col(text)), shingle)), lambda x: F.xxhash64(x)).alias("s"))
+    hashes = T.let(T.words(F.col(text)), lambda w: F.transform(F.array_distinct(grams(w, shingle)), lambda x: F.xxhash64(x)))
+    sets = df.select(F.col(key), hashes.alias("s"))
     sets = written(sets.select(key, F.array_sort(F.array_distinct("s")).alias("s")))
     full = sets.where(F.size("s") > 0).withColumn("h", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256))
     reps = written(full.groupBy("h").agg(F.min(key).alias("rep"), F.first("s").alias("s")))
