@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import let
+
 #: Characters between tokens.
 WS = r" \t\n\r\f"
 #: A token with the white space after it; the first takes the white space before it too.
@@ -105,8 +107,8 @@ def pieces(
     names = ["first_token", "n_tokens", "overlap"]
     if with_text:
         names.append("piece")
-        j = j.withColumn("_tokens", F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0)))
-        cut = lambda p: F.array_join(F.slice(F.col("_tokens"), p["first_token"] + 1, p["n_tokens"]), "")
-        j = j.withColumn("_spans", F.transform("_spans", lambda p: F.struct(*[p[c].alias(c) for c in names[:3]], cut(p).alias("piece"))))
+        cut = lambda t, p: F.array_join(F.slice(t, p["first_token"] + 1, p["n_tokens"]), "")
+        tokens = F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0))
+        j = j.withColumn("_spans", let(tokens, lambda t: F.transform("_spans", lambda p: F.struct(*[p[c].alias(c) for c in names[:3]], cut(t, p).alias("piece")))))
     row = j.select(key, F.size("_spans").alias("n_pieces"), F.posexplode("_spans").alias("_no", "_p"))
     return row.select(key, (F.col("_no") + 1).alias("piece_no"), "n_pieces", *[F.col(f"_p.{c}").alias(c) for c in names])
