@@ -59,3 +59,30 @@ def upsample(df: DataFrame, key: str, order: str) -> DataFrame:
     d = df.join(n, key).crossJoin(F.broadcast(most)).withColumn("_r", F.row_number().over(w.orderBy(order)))
     times = F.floor(F.col("_m") / F.col("_n")) + (F.col("_r") <= F.col("_m") % F.col("_n")).cast("int")
     return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_n", "_m", "_r")
+
+
+def closest_names(names: DataFrame, name: str = "name", folded: str = "a", most: int = 4) -> DataFrame:
+    """(name, other, dist): the closest other name by Levenshtein distance of folded, up to most edits, the first of equals.
+
+    No pair is lost: a string is cut into most + 1 pieces, and most edits leave one of them whole. The longer
+    string of a pair then holds that piece, shifted by no more than the edits before it and those after it
+    allow. Names are joined on (length, number of the piece, piece) and all candidates are verified.
+    A piece may be empty, so short names meet all names that are as short. Candidates aren't shuffled,
+    but they grow with the number of names that share a piece.
+    """
+    k = most + 1
+    at = lambda n, i: f"({i} * ({n} div {k}) + greatest(0, {i} - ({k} - {n} % {k})))"
+    size = lambda n, i: f"({n} div {k} + if({i} >= {k} - {n} % {k}, 1, 0))"
+    base = names.where(F.col(folded).isNotNull()).select(F.col(name).alias("n"), F.col(folded).alias("a"), F.length(folded).alias("l"))
+    own = f"transform(sequence(0, {most}), i -> struct(l, i, substr(a, {at('l', 'i')} + 1, {size('l', 'i')}) AS s))"
+    # d: how much longer this string is than the one cut into pieces
+    low = f"greatest(0, {at('(l - d)', 'i')} - i, {at('(l - d)', 'i')} + d - ({most} - i))"
+    high = f"least(l - {size('(l - d)', 'i')}, {at('(l - d)', 'i')} + i, {at('(l - d)', 'i')} + d + ({most} - i))"
+    held = f"if({high} >= {low}, transform(sequence({low}, greatest({low}, {high})), p -> struct(l - d AS l, i, substr(a, p + 1, {size('(l - d)', 'i')}) AS s)), array())"
+    all_held = f"flatten(transform(sequence(0, least({most}, l)), d -> flatten(transform(sequence(0, {most}), i -> {held}))))"
+    short = base.select(F.col("n").alias("n1"), F.col("a").alias("a1"), F.explode(F.expr(own)).alias("x")).select("n1", "a1", "x.*")
+    long = base.select(F.col("n").alias("n2"), F.col("a").alias("a2"), F.explode(F.array_distinct(F.expr(all_held))).alias("x")).select("n2", "a2", "x.*")
+    near = short.join(long, ["l", "i", "s"]).where("n1 <> n2").withColumn("dist", F.levenshtein("a1", "a2", most)).where("dist >= 0")
+    both = near.select(F.explode(F.array(F.struct(F.col("n1").alias("n"), F.col("n2").alias("other"), "dist"), F.struct(F.col("n2").alias("n"), F.col("n1").alias("other"), "dist"))).alias("p"))
+    best = both.groupBy(F.col("p.n").alias(name)).agg(F.min(F.struct("p.dist", "p.other")).alias("b"))
+    return best.select(name, F.col("b.other").alias("other"), F.col("b.dist").cast("long").alias("dist"))

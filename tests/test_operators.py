@@ -228,3 +228,31 @@ def test_stream_equals_batch(spark, tmp_path):
     scores = wordcount.append_scores(s.select("doc_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     scores.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_closest_names_misses_no_slip(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = np.random.default_rng(3)
+    names = {"Herwolsilral_Charles", "Hewolsilral_Charles", "Austen_Jane", "Austen_Iane", "Musten_Jane", "Li", "Wu_A", "", "Eliot", "Elliott_George", "aaaaaaaa", "aaaaaaaaaaaa"}
+    for x in list(names):
+        for _ in range(6):
+            y = list(x)
+            for _ in range(int(rng.integers(1, 7))):
+                at = int(rng.integers(0, len(y) + 1))
+                y[at : at + int(rng.integers(0, 2))] = list(rng.choice(["", "a", "e", "_"]))
+            names.add("".join(y))
+    got = metadata.closest_names(spark.createDataFrame([(x, x) for x in names], "name string, a string")).collect()
+    want = {}
+    for x in names:
+        near = min((edits(x, y), y) for y in names if y != x)
+        if near[0] <= 4:
+            want[x] = near
+    assert {r["name"]: (r["dist"], r["other"]) for r in got} == want
+    assert want["Herwolsilral_Charles"][0] <= 1 and want["Austen_Jane"][0] == 1

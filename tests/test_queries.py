@@ -78,3 +78,14 @@ def test_nothing_imports_the_subpackage():
     for p in (root / "quillspark").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "quillspark.llm" not in p.read_text()
+
+
+def test_levenshtein_match_all_against_sql(spark):
+    import __spark_entry__ as entry
+
+    data = DATA.replace("0.001", "0.01")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW metadata AS SELECT * FROM '{data}/metadata.parquet'")
+    got = rows(entry.queries()["levenshtein_match_all"](spark, data).toPandas())
+    assert got == rows(c.sql(entry.oracle_sql()["levenshtein_match_all"]).df())
+    assert len(got) > entry.queries()["levenshtein_match"](spark, data).count()
