@@ -2,9 +2,10 @@
 
 statistics() gives the plain ratios of a text by built-in SQL functions. layout() adds
 what needs a look at the lines as a whole, in Arrow batches: delimiters that stand in the
-same number on every line or in the same column of characters, the period of the
-indentation, the autocorrelation of the line lengths, and the shares of the text that
-read as prose, as entries of a list, as rows of a table or as nothing. found() decides.
+same number on every line or in the same column of characters, the periods at which the
+indentation and the line lengths repeat and their autocorrelation there, and the shares
+of the text that read as prose, as entries of a list, as rows of a table or as nothing.
+found() decides.
 
 Results for odd input: null, empty and blank texts have null statistics and are no case.
 Every row in gives one row out, repeated ids included. Texts of any length are read whole;
@@ -47,6 +48,8 @@ GAP = re.compile(r"\S {2,}\S")
 RULE = re.compile(r"[\s|¦+:=\-_–—.]*")
 BREAK = re.compile(r"\r\n?|[\f\v\x85\u2028\u2029]")
 STOP = re.compile(r"[.!?…][\"'”’“‘»«)\]]*\s*$")
+#: Longest period in lines that is looked for.
+MAX_LAG = 24
 DELIMITERS = ("|", "¦", "\t", ";", ",", "/", "~", "^", "‖")
 
 
@@ -110,6 +113,24 @@ def _columns(lines: list[str]) -> float:
     return float(gutters) if gutters >= 2 else 0.0
 
 
+def _period(x: np.ndarray) -> tuple[int, float]:
+    """The lag, from 2 lines to a third of them, where a series is most like itself, and its autocorrelation there; 0, 0 if none.
+
+    A lag only counts if a smaller one correlates less by 0.5: a series that just changes slowly has no period.
+    """
+    dev = x - x.mean()
+    var = float(np.dot(dev, dev)) / len(x)
+    best, least = (0, 0.0), 1.0
+    if var < 1e-9:
+        return best
+    for lag in range(1, min(len(x) // 3, MAX_LAG) + 1):
+        r = float(np.dot(dev[:-lag], dev[lag:])) / (len(x) - lag) / var
+        if lag > 1 and r > best[1] + 1e-9 and least <= r - 0.5:
+            best = (lag, r)
+        least = min(least, r)
+    return best
+
+
 def describe(text: str) -> tuple:
     """The layout statistics of one text that isn't blank; see FIELDS."""
     text = BREAK.sub("\n", text).replace("\xa0", " ")
@@ -123,11 +144,8 @@ def describe(text: str) -> tuple:
     marks = len(MARKS.findall(text))
     solid = sum(map(len, text.split())) or 1
     lengths = np.array([len(x.rstrip()) for x in raw], dtype=float)
-    dev = lengths - lengths.mean()
-    auto = float((dev[:-1] * dev[1:]).sum() / (dev**2).sum()) if len(raw) > 2 and (dev**2).sum() > 0 else 0.0
-    indents = [len(x) - len(x.lstrip()) for x in raw]
-    steps = Counter(indents)
-    period = max(steps.values()) / len(raw) if len(raw) > 2 and max(indents) > 0 else 0.0
+    line_period, auto = _period(lengths)
+    indent_period, indent_auto = _period(np.array([len(x) - len(x.lstrip()) for x in raw], dtype=float))
 
     # tables: the best delimiter, by the text that lies on lines of its most frequent number of columns
     table, table_lines, kind = 0.0, 0, ""
@@ -199,13 +217,14 @@ def describe(text: str) -> tuple:
     lone = sum(n for w, n in counts.items() if len(w) == 1)
     readable = sum(len(w) * n for w, n in counts.items() if _readable(w)) / solid
     common = sum(n for w, n in counts.items() if _sort(w) == 1) / len(words) if words else 0.0
+    lower = sum(n for w, n in counts.items() if w[0].islower()) / len(words) if words else 0.0
     odd = len(ODD.findall(text)) / solid
     distinct = len({w.lower() for w in counts}) / len(words) if words else 0.0
     longest = max((len(x) for x in text.split()), default=0) / total
-    return (len(words), common, letters / solid, marks / solid, tags, readable, odd, distinct, lone / len(words) if words else 1.0, longest, len(raw), bullets / len(raw), stops / len(raw), table, table_lines, prose / total, entry / total, entries, inline, parts_n, auto, period)
+    return (len(words), common, letters / solid, marks / solid, tags, readable, odd, distinct, lone / len(words) if words else 1.0, longest, len(raw), bullets / len(raw), stops / len(raw), table, table_lines, prose / total, entry / total, entries, inline, parts_n, lower, auto, line_period, indent_auto, indent_period)
 
 
-FIELDS = "n_words int, common double, letters double, marks double, tags double, readable double, odd double, distinct double, lone double, longest double, n_lines int, bullets double, stops double, table_share double, table_lines int, prose_share double, entry_share double, entries int, inline_share double, inline_parts int, line_autocorrelation double, indent_period double"
+FIELDS = "n_words int, common double, letters double, marks double, tags double, readable double, odd double, distinct double, lone double, longest double, n_lines int, bullets double, stops double, table_share double, table_lines int, prose_share double, entry_share double, entries int, inline_share double, inline_parts int, lower double, line_autocorrelation double, line_period int, indent_autocorrelation double, indent_period int"
 _NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 _TYPES = [pa.int32() if x.endswith(" int") else pa.float64() for x in FIELDS.split(", ")]
 
@@ -236,7 +255,10 @@ def kind_of() -> Column:
     junk = (c("tags") >= 0.35) | (c("readable") < 0.5) | (c("odd") >= 0.12) | solid | repeated | menu
     table = (c("table_share") >= 0.65) & (c("table_lines") >= 2)
     listed = (c("prose_share") <= 0.35) & ((c("entries") >= 3) & (c("entry_share") >= 0.6) | (c("inline_parts") >= 4) & (c("inline_share") >= 0.6))
-    return F.when(table & (c("tags") < 0.35), "table").when(junk, "junk").when(listed, "list").when(remains, "junk")
+    # records of several lines and entries that no mark shows: the layout repeats; names, titles and numbers, not sentences of any language
+    repeats = (F.greatest("line_autocorrelation", "indent_autocorrelation") >= 0.6) & (c("n_lines") >= 6)
+    records = repeats & (c("prose_share") <= 0.35) & (c("lower") <= 0.5) & (c("stops") <= 0.5) & (c("n_words") >= c("n_lines"))
+    return F.when(table & (c("tags") < 0.35), "table").when(junk, "junk").when(listed | records, "list").when(remains, "junk")
 
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -233,6 +233,37 @@ def test_kinds(spark):
     assert quality.found(df.where("doc_id < 0")).count() == 0
 
 
+_NAMED = iter(f"{a}{b}{c}" for a in ("Ber", "Hol", "Mar", "Tan", "Wil") for b in ("ga", "le", "mi", "no", "ru") for c in ("ben", "dorf", "ker", "lin", "mann", "sen", "tal"))
+_ENTRIES = [" ".join(itertools.islice(_NAMED, n)) for n in (14, 10, 10) * 4]
+INDENTED = "\n".join("      " * (i % 2) + " ".join(x.split()[:10]) for i, x in enumerate(_ENTRIES))
+LENGTHS = "\n".join(_ENTRIES)
+
+
+def test_layout_that_repeats():
+    f = lambda t: dict(zip(quality._NAMES, quality.describe(t)))
+    a, b = f(INDENTED), f(LENGTHS)
+    assert a["indent_period"] == 2 and a["indent_autocorrelation"] > 0.9
+    assert b["line_period"] == 3 and b["line_autocorrelation"] > 0.8 and b["indent_period"] == 0
+    # the same lines in another order have no such period
+    mixed = f("\n".join(sorted(INDENTED.split("\n"))))
+    assert mixed["indent_period"] == 0 and mixed["indent_autocorrelation"] == 0
+
+
+def test_layout_that_repeats_decides(spark):
+    verse = """arma gravi numero violentaque bella parabam
+    edere, materia conveniente modis.
+par erat inferior versus: risisse Cupido
+    dicitur atque unum surripuisse pedem.
+quis tibi, saeve puer, dedit hoc in carmina iuris?
+    Pieridum vates, non tua turba sumus.
+quid, si praeripiat flavae Venus arma Minervae,
+    ventilet accensas flava Minerva faces?"""
+    rows = [(0, INDENTED), (1, LENGTHS), (2, verse), (3, re.sub(r"(.{20,30}) ", r"\1\n      ", PROSE)), (4, "\n".join(f"{x}\n    {x}" for x in [PROSE] * 3))]
+    assert quality.describe(verse)[-1] == 2
+    got = {r["doc_id"]: r["kind"] for r in quality.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "list", 1: "list"}
+
+
 # 5 scans
 def test_scans(spark):
     pure = ["The gentle farmer carried the heavy basket to the quiet village", "A modest sailor described the distant harbour before the winter", "Nobody remembered the broken wagon near the narrow bridge", "The gentle sailor carried the broken basket near the harbour"]
