@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import HashingTF, Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import kernels
 from quillspark.session import written
 
 
@@ -65,32 +68,36 @@ def walks(edges: DataFrame, per_node: int = 10, length: int = 8, p: float = 1.0,
     return out if done is None else out.unionByName(done)
 
 
-def node2vec(edges: DataFrame, dim: int = 32, per_node: int = 10, length: int = 8, p: float = 1.0, q: float = 1.0, seed: int = 7) -> DataFrame:
-    """(node, vec): skip-gram vectors of the nodes over their walks."""
-    model = Word2Vec(vectorSize=dim, windowSize=10, minCount=0, seed=seed, inputCol="path", outputCol="v").fit(walks(edges, per_node, length, p, q, seed))
+def _node_vectors(paths: DataFrame, dim: int, seed: int) -> DataFrame:
+    model = Word2Vec(vectorSize=dim, windowSize=10, minCount=0, seed=seed, inputCol="path", outputCol="v").fit(paths)
     from pyspark.ml.functions import vector_to_array
 
     return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vec"))
 
 
-def structure_edges(edges: DataFrame, hops: int = 2, k: int = 10) -> DataFrame:
-    """(src, dst, w): each node's k nodes of most similar surroundings, for walks that follow structure.
+def node2vec(edges: DataFrame, dim: int = 32, per_node: int = 10, length: int = 8, p: float = 1.0, q: float = 1.0, seed: int = 7) -> DataFrame:
+    """(node, vec): skip-gram vectors of the nodes over their walks."""
+    return _node_vectors(walks(edges, per_node, length, p, q, seed), dim, seed)
 
-    The surroundings are the quantiles of the degrees on each ring of hops; rings come from a breadth-first
-    search. Distances are taken in blocks of queries; w is exp(-distance).
+
+def structure_walks(edges: DataFrame, per_node: int = 10, length: int = 8, seed: int = 7) -> DataFrame:
+    """(start, walk, path): walks over the layers of structural likeness of an undirected network, from 0 hops to its diameter.
+
+    All nodes are compared with all on every layer, so the network is one matrix in one task, as for the clustering kernels.
     """
-    from quillspark.operators.distance import nearest
-    from quillspark.operators.graph import bfs, nodes_of
 
-    deg = edges.groupBy(F.col("src").alias("node")).agg(F.ln(F.count("*") + 1.0).alias("d"))
-    ring = bfs(edges, nodes_of(edges), hops).join(deg, "node").groupBy("start", "hops").agg(F.percentile("d", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("v"))
-    m = ring.groupBy("start").agg(F.map_from_entries(F.collect_list(F.struct("hops", "v"))).alias("m"))
-    vec = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(hops)), lambda h: F.coalesce(F.try_element_at("m", h), F.array_repeat(F.lit(0.0), 5))))
-    v = written(m.select(F.col("start").alias("node"), vec.alias("vec")))
-    near = nearest(v, v, "manhattan", k, "node")
-    return near.select(F.col("node").alias("src"), F.col("other").alias("dst"), F.exp(-F.col("value")).alias("w"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["src"]) | set(pdf["dst"]))
+        at = {x: i for i, x in enumerate(names)}
+        a = np.zeros((len(names), len(names)), dtype=bool)
+        a[pdf["src"].map(at), pdf["dst"].map(at)] = True
+        paths = kernels.structural_walks(kernels.structural_costs(a), per_node, length, seed)
+        return pd.DataFrame({"start": [names[p[0]] for p in paths], "walk": [i % per_node + 1 for i in range(len(paths))], "path": [[names[i] for i in p] for p in paths]})
+
+    e = edges.where("w > 0 AND src <> dst").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    return e.groupBy(F.lit(1).alias("k")).applyInPandas(run, "start string, walk int, path array<string>")
 
 
 def struc2vec(edges: DataFrame, dim: int = 32, seed: int = 7) -> DataFrame:
-    """(node, vec): skip-gram vectors over walks on structure_edges()."""
-    return node2vec(written(structure_edges(edges)), dim=dim, seed=seed)
+    """(node, vec): skip-gram vectors over structure_walks()."""
+    return _node_vectors(written(structure_walks(edges, seed=seed)), dim, seed)

@@ -235,3 +235,89 @@ def cluster_grid(matrices: DataFrame, grid: list[tuple[str, str]]) -> DataFrame:
 
     work = matrices.select("mxname", "src", "dst", "w").crossJoin(F.broadcast(g))
     return work.groupBy("mxname", "alg", "param").applyInPandas(run, "mxname string, alg string, param string, node string, cluster int")
+
+
+def _warp(a: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Dynamic time warping of the sequence a to each row of others, of which the first sizes count; a step costs max / min - 1.
+
+    All rows at once, one diagonal of the table after another.
+    """
+    n, longest = len(a), others.shape[1]
+    at = np.arange(n)
+    out = np.full(len(others), np.inf)
+    one = two = np.full((len(others), n), np.inf)
+    for t in range(n + longest - 1):
+        j = t - at
+        b = others[:, j.clip(0, longest - 1)]
+        best = one.copy()
+        best[:, 1:] = np.minimum(best[:, 1:], np.minimum(one[:, :-1], two[:, :-1]))
+        if t == 0:
+            best[:, 0] = 0
+        best += np.maximum(a, b) / np.minimum(a, b) - 1
+        best[:, (j < 0) | (j >= longest)] = np.inf
+        ends = sizes + n - 2 == t
+        out[ends] = best[ends, -1]
+        one, two = best, one
+    return out
+
+
+def structural_costs(adjacent: np.ndarray) -> list[np.ndarray]:
+    """One matrix of costs a number of hops from 0 to the diameter: how unlike the surroundings of two nodes are up to there.
+
+    The costs of a layer are those of the one before plus the warping distance of the ordered degrees of the
+    two rings at that many hops; infinite where a node has no such ring, and between a node and itself.
+    """
+    n = len(adjacent)
+    a = (adjacent | adjacent.T) & ~np.eye(n, dtype=bool)
+    degree = a.sum(axis=1).astype(float)
+    seen = front = np.eye(n, dtype=bool)
+    cost, out = np.zeros((n, n)), []
+    while front.any():
+        sizes = front.sum(axis=1)
+        rings = np.ones((n, sizes.max()))
+        for u in range(n):
+            rings[u, : sizes[u]] = np.sort(degree[front[u]])
+        step = np.full((n, n), np.inf)
+        for u in np.flatnonzero(sizes):
+            v = np.flatnonzero(sizes[u + 1 :]) + u + 1
+            if len(v):
+                step[u, v] = step[v, u] = _warp(rings[u, : sizes[u]], rings[v], sizes[v])
+        cost = cost + step
+        out.append(cost)
+        front = (front.astype(np.float32) @ a.astype(np.float32) > 0) & ~seen
+        seen = seen | front
+    return out
+
+
+def structural_walks(costs: list[np.ndarray], per_node: int, length: int, seed: int, stay: float = 0.3) -> list[list[int]]:
+    """Walks from each node over the layers of structural_costs(), as published for struc2vec.
+
+    With probability stay a walk goes on in its layer, to a node drawn by exp(-cost); otherwise it changes
+    the layer: up by ln(e + edges of the node above the layer's mean weight) against 1 for down.
+    """
+    draws, up, there = [], [], []
+    for c in costs:
+        some = np.isfinite(c)
+        w = np.exp(-c)
+        heavy = (w > (w[some].mean() if some.any() else 0.0)).sum(axis=1)
+        up.append(np.log(heavy + np.e) / (np.log(heavy + np.e) + 1))
+        there.append(some.any(axis=1))
+        least = np.where(there[-1], c.min(axis=1), 0.0)
+        p = np.exp(least[:, None] - c).cumsum(axis=1)
+        draws.append(p)
+    rng = np.random.default_rng(seed)
+    out = []
+    for start in range(len(costs[0]) if costs else 0):
+        for _ in range(per_node):
+            path, k = [start], 0
+            while len(path) < length:
+                u = path[-1]
+                if rng.random() < stay:
+                    p = draws[k][u]
+                    path.append(int(np.searchsorted(p, rng.random() * p[-1], side="right")))
+                elif rng.random() < up[k][u]:
+                    k += k + 1 < len(costs) and bool(there[k + 1][u])
+                else:
+                    k = max(k - 1, 0)
+            out.append(path)
+    return out

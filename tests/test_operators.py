@@ -256,3 +256,57 @@ def test_closest_names_misses_no_slip(spark):
             want[x] = near
     assert {r["name"]: (r["dist"], r["other"]) for r in got} == want
     assert want["Herwolsilral_Charles"][0] <= 1 and want["Austen_Jane"][0] == 1
+
+
+def test_structural_costs_reach_the_diameter():
+    def warp(a, b):
+        d = np.full((len(a) + 1, len(b) + 1), np.inf)
+        d[0, 0] = 0
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            d[i + 1, j + 1] = max(a[i], b[j]) / min(a[i], b[j]) - 1 + min(d[i, j + 1], d[i + 1, j], d[i, j])
+        return d[-1, -1]
+
+    def line(n, at=0):
+        return {(at + i, at + i + 1) for i in range(n - 1)}
+
+    def matrix(edges):
+        a = np.zeros((max(map(max, edges)) + 1,) * 2, dtype=bool)
+        for i, j in edges:
+            a[i, j] = a[j, i] = True
+        return a
+
+    def rings(a, u):
+        seen, front, out = {u}, [u], []
+        while front:
+            out.append(sorted(int(a[v].sum()) for v in front))
+            front = sorted({int(y) for x in front for y in np.flatnonzero(a[x])} - seen)
+            seen.update(front)
+        return out
+
+    rng = np.random.default_rng(4)
+    a = matrix({(int(x), int(y)) for x, y in rng.integers(0, 25, (32, 2)) if x != y} | {(i, 24) for i in range(4)} | line(12, 25))
+    a = a[a.any(axis=1)][:, a.any(axis=1)]
+    around = [rings(a, u) for u in range(len(a))]
+    got = kernels.structural_costs(a)
+    assert len(got) == max(map(len, around)) == 12
+    for u, v in itertools.combinations(range(len(a)), 2):
+        want = 0.0
+        for k, c in enumerate(got):
+            want += warp(around[u][k], around[v][k]) if k < min(len(around[u]), len(around[v])) else np.inf
+            assert c[u, v] == c[v, u] and (c[u, v] == want or abs(c[u, v] - want) < 1e-9)
+    # on a path the nodes 3 and 5 differ in the third ring only
+    path = kernels.structural_costs(matrix(line(12)))
+    assert path[2][3, 5] == 0 < path[3][3, 5]
+
+
+def test_structure_walks(spark):
+    edges = [(f"{x}{i}", f"{x}{(i + 1) % 30}", 1.0) for x in "ab" for i in range(30)] + [("c", f"d{i}", 1.0) for i in range(5)]
+    df = spark.createDataFrame(edges, "src string, dst string, w double")
+    got = embed.structure_walks(df).collect()
+    assert len(got) == 66 * 10 and all(len(r["path"]) == 8 and r["path"][0] == r["start"] for r in got)
+    # nodes of the two rings are all alike, so walks reach more than ten of them and the other ring too
+    reached = {y for r in got for x, y in itertools.pairwise(r["path"]) if x == "a0"}
+    assert len(reached) > 10 and {y[0] for y in reached} >= {"a", "b"}
+    assert sorted(map(str, got)) == sorted(map(str, embed.structure_walks(df).collect()))
+    assert embed.structure_walks(df.where("w < 0")).count() == 0
+    assert embed.struc2vec(df).count() == 66
