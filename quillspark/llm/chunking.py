@@ -4,7 +4,8 @@ A text becomes a string of one letter per token that says how strong the boundar
 after the token is. Bounded quantifiers over that string then do the cutting: from
 each position the regular expression consumes as many letters as the limit allows
 and ends at the strongest boundary in the second half of the piece; where there is
-none, any letter will do (the fallback). The lengths of the matches are the pieces;
+none, at the strongest one in the first half, and only a piece without any boundary
+ends at any letter (the fallback). The lengths of the matches are the pieces;
 each later piece looks back overlap tokens. All of it is built-in SQL functions, so
 the cutting stays in the JVM, and single-letter quantifiers run in a loop, so any
 limit works without deep recursion.
@@ -58,6 +59,7 @@ def _piece_pattern(limit: Column, fresh: Column) -> Column:
         low, high = F.greatest(least, F.ceil(most / 2).cast("int")).cast("string"), most.cast("string")
         ends = [F.concat(F.lit(".{1,"), high, F.lit("}\\z"))]
         ends += [F.concat(F.lit(".{"), low, F.lit(","), high, F.lit("}(?<=" + x + ")")) for x in "PSCL"]
+        ends += [F.concat(F.lit(".{"), F.least(least, most).cast("string"), F.lit(","), high, F.lit("}(?<=" + x + ")")) for x in "PSCL"]
         return F.concat_ws("|", *ends, F.concat(F.lit(".{1,"), high, F.lit("}")))
 
     # the first piece must hold what the second repeats

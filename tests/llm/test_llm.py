@@ -75,6 +75,17 @@ def test_pieces_prefer_strong_boundaries(spark):
     assert [r["piece"].strip() for r in rows] == ["a b c d e f. g h", "i j k l m n o p q r"]
 
 
+def test_pieces_end_at_a_boundary_of_the_first_half(spark):
+    plain = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    for mark in (".", ",", ".\n\n", "\n"):
+        text = plain("a", 3) + mark + " " + plain("b", 12)
+        df = spark.createDataFrame([(1, text, "1", 0)], T)
+        got = lambda n, over: [(r["first_token"], r["n_tokens"]) for r in chunking.pieces(df, spark.createDataFrame([(1, n, over, "1", "")], L)).orderBy("piece_no").collect()]
+        assert got(10, 0) == [(0, 3), (3, 10), (13, 2)]
+        # the first piece still holds what the second repeats
+        assert got(10, 2)[0] == (0, 3) and got(10, 4)[0] == (0, 10)
+
+
 # 1 names
 M = "text_id long, file_name string, author string, author_viaf string, source_vol string, rec string, entity string"
 
