@@ -185,6 +185,53 @@ def test_clusters(spark):
     assert clusters.clusters(df.where("text_id < 0"), cols)[0].count() == 0
 
 
+def test_mixture_separates_what_a_radius_cannot(spark):
+    rng = np.random.default_rng(4)
+    # two groups and records between them, each within NEAR of the next one: a radius joins all of them
+    a = 0.5 + rng.normal(0, 0.004, (60, 4))
+    b = 0.5 + rng.normal(0, 0.004, (60, 4)) + np.array([0.14, 0, 0, 0])
+    bridge = np.array([[0.545, 0.5, 0.5, 0.5], [0.595, 0.5, 0.5, 0.5]])
+    x = np.vstack([a, b, bridge])
+    reach = np.abs(x[:, None, :] - x[None, :, :]).max(axis=2) < clusters.NEAR
+    seen = {0}
+    while len(more := seen | set(np.flatnonzero(reach[list(seen)].any(axis=0)))) > len(seen):
+        seen = more
+    assert len(seen) == 122
+    label, density = clusters.components_of(x)
+    assert len(set(label[:60])) == 1 and len(set(label[60:120])) == 1 and label[0] != label[60]
+    # the densest member is near the middle of its group
+    top = int(np.argmax(np.where(label == label[0], density, -np.inf)))
+    assert np.linalg.norm(x[top] - a.mean(axis=0)) < np.median(np.linalg.norm(a - a.mean(axis=0), axis=1))
+    # one group of any shape within the noise stays whole, and EM finds the number of planted components
+    assert clusters.components_of(a)[0].max() == 0
+    centres = rng.random((30, 6))
+    many = np.vstack([c + rng.normal(0, 0.004, (int(rng.integers(1, 20)), 6)) for c in centres])
+    far = np.linalg.norm(centres[:, None] - centres[None], axis=2) + np.eye(30)
+    assert far.min() > 0.15 and clusters.components_of(many)[0].max() + 1 == 30
+
+
+def test_clusters_of_records_that_miss_much(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    cols = [f"f{i}_full" for i in range(9)]
+    rows, truth = [], {}
+    for c in range(60):
+        centre = rng.random(9)
+        for k in range(4):
+            n = 4 * c + k
+            v = [float(x) for x in centre + rng.uniform(-0.005, 0.005, 9)]
+            if k == 3 and c % 3 == 0:
+                v[:6] = [None] * 6
+            rows.append((n, "1", *v))
+            truth[n] = c
+    df = spark.createDataFrame(rows, "text_id long, computed_at string, " + ", ".join(f"{c} double" for c in cols))
+    want = {p for p in itertools.combinations(sorted(truth), 2) if truth[p[0]] == truth[p[1]]}
+    # cells of a few records, cells that are cut on, and one cell
+    for rows_, most in ((2, 1500), (100, 20), (10_000, 1500)):
+        monkeypatch.setattr(clusters, "CELL_ROWS", rows_)
+        monkeypatch.setattr(clusters, "CELL_MOST", most)
+        assert {tuple(r) for r in clusters.pairs(clusters.clusters(df, cols)[0]).collect()} == want
+
+
 # 7 leaks
 def test_leaks_both_ways(spark):
     rng = np.random.default_rng(2)
