@@ -55,27 +55,10 @@ HEADS = (
     "gesellschaft society societe institute institution institut office verein kontor comptoir kontoir bureau buero club klub bund company "
     "verlag press union association academy akademie library bibliothek museum college committee kommission guild gilde anstalt ges soc inst off assoc"
 ).split()
-#: Nicknames and contractions that are no part of the full form, or leave it in doubt.
-NICKNAMES = {
-    "bert": "albert herbert robert", "ned": "edward edmund", "ted": "edward theodore", "kit": "christopher", "lizzie": "elizabeth", "liesel": "elisabeth",
-    "bill": "william", "will": "william", "billy": "william", "dick": "richard", "bob": "robert", "rob": "robert", "jack": "john", "jim": "james",
-    "harry": "henry harold", "hal": "henry", "nell": "eleanor helen", "nelly": "eleanor helen", "molly": "mary", "polly": "mary", "peggy": "margaret",
-    "meg": "margaret", "maggie": "margaret", "daisy": "margaret", "betty": "elizabeth", "bess": "elizabeth", "bessie": "elizabeth", "liz": "elizabeth",
-    "lise": "elisabeth", "lisbeth": "elisabeth", "elise": "elisabeth", "else": "elisabeth", "kate": "catherine katharine", "kitty": "catherine",
-    "kathi": "katharina", "kathe": "katharina", "trine": "katharina", "fritz": "friedrich", "fred": "frederick", "heinz": "heinrich", "heiner": "heinrich",
-    "hinz": "heinrich", "hans": "johann johannes", "hannes": "johannes johann", "willi": "wilhelm", "willy": "wilhelm", "minna": "wilhelmine",
-    "mina": "wilhelmine", "rike": "friederike", "riekchen": "friederike", "sepp": "joseph josef", "joe": "joseph", "sam": "samuel", "tom": "thomas",
-    "ben": "benjamin", "nick": "nicholas", "klaus": "nikolaus", "niklas": "nikolaus", "gretel": "margarethe", "grete": "margarethe", "greta": "margarethe",
-    "lotte": "charlotte", "lottie": "charlotte", "lena": "magdalena", "leni": "magdalena", "resi": "therese", "tilde": "mathilde", "tilly": "matilda mathilde",
-    "fanny": "frances franziska", "frank": "francis", "hetty": "henrietta harriet", "hattie": "harriet", "sally": "sarah", "sue": "susannah susan",
-    "susie": "susannah susan", "nan": "anne nancy", "nancy": "anne", "dolly": "dorothea dorothy", "dora": "dorothea", "penny": "penelope", "pen": "penelope",
-    "pip": "philip", "phil": "philip philippa", "sandy": "alexander", "alec": "alexander", "alex": "alexander", "sascha": "alexander", "drew": "andrew",
-    "andy": "andrew", "charley": "charles", "charlie": "charles", "nat": "nathaniel", "larry": "lawrence", "max": "maximilian", "ludi": "ludwig", "lutz": "ludwig",
-    "matz": "matthias", "bastian": "sebastian", "gustl": "gustav", "poldi": "leopold", "leo": "leopold", "kurt": "konrad", "conny": "konrad", "trudi": "gertrud",
-    "gertie": "gertrude gertrud", "heidi": "adelheid", "heide": "adelheid", "georgie": "georgina", "bella": "isabella", "carrie": "caroline", "lina": "caroline karoline",
-}
 #: Shortest suffix and prefix of a core that is indexed.
-SUFFIX, PREFIX = 4, 4
+SUFFIX = 4
+#: Nodes of a block beyond which its key is refined.
+HOT = 64
 
 _LETTER = re.compile(r"[^\W\d_]+")
 
@@ -110,11 +93,9 @@ def close(a: str, b: str, least: float = 0.8) -> bool:
 
 
 def is_short_of(short: str, full: str) -> bool:
-    """May short stand for the given name full: its first letter, its letters in their order, or a nickname."""
+    """May short stand for the given name full: its first letter or its letters in their order."""
     if short == full:
         return True
-    if full in NICKNAMES.get(short, "").split():
-        return True
     if not short or not full or short[0] != full[0] or len(short) >= len(full):
         return False
     it = iter(full)
@@ -234,9 +215,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the candidate pairs that may be the same: cores close, and the rest the same or a slip or short form."""
     for b in batches:
         keep = []
-        for core_a, rest_a, core_b, rest_b, full_a, full_b, kind, size_a, size_b in zip(*(b.column(c).to_pylist() for c in ("core_a", "rest_a", "core_b", "rest_b", "full_a", "full_b", "kind", "size_a", "size_b"))):
+        for core_a, rest_a, core_b, rest_b, full_a, full_b, kind in zip(*(b.column(c).to_pylist() for c in ("core_a", "rest_a", "core_b", "rest_b", "full_a", "full_b", "kind"))):
             same_core, ok = core_a == core_b, False
-            near = same_core or (min(len(core_a), len(core_b)) >= 5 and close(core_a, core_b) and min(size_a, size_b) <= 3)
+            near = same_core or (min(len(core_a), len(core_b)) >= 5 and close(core_a, core_b))
             if kind == "org":
                 adjective = any(x.startswith(y) and x[len(y) :] in ("er", "r", "ers", "s", "n") for x, y in ((core_a, core_b), (core_b, core_a)))
                 adjective = adjective or any(x.endswith("er") and close(x[:-2], y) for x, y in ((core_a, core_b), (core_b, core_a)))
@@ -288,26 +269,32 @@ def link(df: DataFrame, use_viaf: bool = True, **columns: str) -> Linked:
     single = long.join(flat.where("n = 1"), "name")
     side = lambda s: single.where(F.col("side") == s).select("rec", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "kind", "core", "rest", "short")])
     both = side("a").join(side("f"), "rec").where("kind_a = kind_f")
-    forms = both.where("kind_a = 'person' AND rest_a <> '' AND rest_f <> ''").groupBy(F.least("rest_a", "rest_f").alias("x"), F.greatest("rest_a", "rest_f").alias("y")).agg(F.count("*").alias("n"))
-    forms = forms.select("n", F.when(F.length("x") <= F.length("y"), F.col("x")).otherwise(F.col("y")).alias("less"), F.when(F.length("x") <= F.length("y"), F.col("y")).otherwise(F.col("x")).alias("more"))
-    seen = forms.select(F.col("less").alias("rest"), F.when(F.length("less") < F.length("more"), F.col("n")).otherwise(0).alias("as_short"), F.when(F.length("less") < F.length("more"), 0).otherwise(F.col("n")).alias("as_full"))
-    seen = seen.unionByName(forms.where(F.length("less") < F.length("more")).select(F.col("more").alias("rest"), F.lit(0).alias("as_short"), F.col("n").alias("as_full")))
+    person = both.where("kind_a = 'person' AND rest_a <> '' AND rest_f <> ''")
+    alike = written(person.where("NOT short_a AND NOT short_f AND rest_a = rest_f").groupBy(F.col("rest_a").alias("rest")).agg(F.count("*").alias("alike")))
+    forms = person.where("rest_a <> rest_f").groupBy(F.least("rest_a", "rest_f").alias("x"), F.greatest("rest_a", "rest_f").alias("y")).agg(F.count("*").alias("n"), F.count_distinct("core_f").alias("cores"))
+    forms = forms.join(alike.select(F.col("rest").alias("x"), F.col("alike").alias("ax")), "x", "left").join(alike.select(F.col("rest").alias("y"), F.col("alike").alias("ay")), "y", "left")
+    # the shorter of two is the short form, of two as long the one that stands less often beside itself
+    first = F.struct(F.length("x").alias("l"), F.coalesce("ax", F.lit(0)).alias("n"), F.col("x").alias("w")) <= F.struct(F.length("y").alias("l"), F.coalesce("ay", F.lit(0)).alias("n"), F.col("y").alias("w"))
+    # a nickname shares only some letters with the full form; short forms of many persons are learned as they stand
+    forms = written(forms.select("n", "cores", F.when(first, F.col("x")).otherwise(F.col("y")).alias("less"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("more"), F.when(first, F.col("ax")).otherwise(F.col("ay")).alias("own")))
+    nick = forms.where((F.col("cores") >= 2) & (F.col("n") > F.coalesce("own", F.lit(0)))).select("less", "more")
+    shorter = (F.length("less") < F.length("more")) | (F.col("n") > F.coalesce("own", F.lit(0))) & (F.col("cores") >= 2)
+    seen = forms.select(F.col("less").alias("rest"), F.when(shorter, F.col("n")).otherwise(0).alias("as_short"), F.when(shorter, 0).otherwise(F.col("n")).alias("as_full"))
+    seen = seen.unionByName(forms.where(shorter).select(F.col("more").alias("rest"), F.lit(0).alias("as_short"), F.col("n").alias("as_full")))
+    seen = seen.unionByName(alike.select("rest", F.lit(0).alias("as_short"), F.col("alike").alias("as_full")))
     seen = seen.groupBy("rest").agg(F.sum("as_short").alias("as_short"), F.sum("as_full").alias("as_full"))
-    alike = both.where("kind_a = 'person' AND NOT short_a AND NOT short_f AND rest_a = rest_f").groupBy(F.col("rest_a").alias("rest")).agg(F.count("*").alias("alike"))
     spread = flat.where("kind = 'person' AND NOT short").groupBy("rest").agg(F.countDistinct("core").alias("spread"))
     lexicon = spread.join(seen, "rest", "full").join(alike, "rest", "left")
     lexicon = lexicon.select("rest", (F.coalesce("as_short", F.lit(0)) > F.coalesce("as_full", F.lit(0))).alias("learned_short"), ((F.coalesce("spread", F.lit(0)) >= 3) | (F.coalesce("alike", F.lit(0)) >= 1)).alias("spread"))
     flat = flat.join(lexicon, "rest", "left")
-    nick = F.col("rest").isin(sorted(NICKNAMES))
-    short = F.col("short") | (F.length("rest") <= 2) | F.coalesce("learned_short", F.lit(False)) | nick
+    short = F.col("short") | (F.length("rest") <= 2) | F.coalesce("learned_short", F.lit(False))
     flat = flat.select("name", "n", "pos", "kind", "core", "rest", ((F.col("kind") == "person") & short).alias("short"), (F.coalesce("spread", F.lit(False)) & ~F.col("short")).alias("common"))
     flat = written(flat.withColumn("node", F.concat_ws("\x1f", "kind", "core", "rest")))
 
     # the nodes that may join entities: organisations and persons with a full given name
     on = long.join(flat, "name")
-    nodes = on.groupBy("node", "kind", "core", "rest", "short", "common").agg(F.count("*").alias("size"))
-    nodes = written(nodes)
-    sure = ["node", "kind", "core", "rest", "common", "size"]
+    nodes = written(on.select("node", "kind", "core", "rest", "short", "common").distinct())
+    sure = ["node", "kind", "core", "rest", "common"]
     cand = _candidates(nodes.where("NOT short").select(*sure))
     proof = both_edges(on)
     edges = cand.unionByName(proof).unionByName(nodes.where("NOT short").select(F.col("node").alias("a"), F.col("node").alias("b")))
@@ -323,7 +310,7 @@ def link(df: DataFrame, use_viaf: bool = True, **columns: str) -> Linked:
 
     # short forms with nothing beside them: the only entity they fit, else one of their own
     open_ = placed.where("entity IS NULL").select("node", "core", "rest").distinct()
-    fits = _fitting(open_, nodes.where("NOT short AND kind = 'person'"), label)
+    fits = _fitting(open_, nodes.where("NOT short AND kind = 'person'"), label, nick)
     only = fits.groupBy("node").agg(F.min("entity").alias("fit"), F.countDistinct("entity").alias("ways")).where("ways = 1").select("node", "fit")
     known = placed.where("entity IS NOT NULL AND n = 1").groupBy("node").agg(F.min("entity").alias("was"), F.countDistinct("entity").alias("ways")).where("ways = 1").select("node", "was")
     done = placed.join(only, "node", "left").join(known, "node", "left").select("rec", "name", "n", "node", F.coalesce("entity", "was", "fit").alias("entity"))
@@ -360,38 +347,64 @@ def _keys(kind: Column, core: Column, rest: Column) -> Column:
     )
 
 
+def variants(core: Column) -> Column:
+    """What close() lets a core have in common with another: itself and itself without one letter, from 14 letters also without two.
+
+    Two cores are close only if they share one of these, so refining a block with them loses no pair.
+    """
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    one = F.when(F.length(core) > 0, less(core)).otherwise(F.array().cast("array<string>"))
+    two = F.when(F.length(core) >= 14, F.flatten(F.transform(one, less))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(core), one, two))
+
+
+def refined(keyed: DataFrame, hot: DataFrame, core: str, key: str = "key") -> DataFrame:
+    """keyed with the keys of blocks in hot (key) split by the variants of the core."""
+    there = F.col("_hot").isNotNull() & F.col(key).rlike("^[sp]\x1fperson")
+    parts = F.when(there, F.transform(variants(F.col(core)), lambda v: F.concat_ws("\x1f", key, v))).otherwise(F.array(key))
+    return keyed.join(hot.select(key, F.lit(True).alias("_hot")), key, "left").withColumn(key, F.explode(parts)).drop("_hot")
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between the nodes of a block whose longest common subsequence is long enough.
 
-    Cores under 8 letters are indexed by 3 letters, so a core of 8 is indexed under both lengths.
+    Cores under 8 letters are indexed by 3 letters, so a core of 8 is indexed under both lengths. Blocks of
+    common suffixes (over HOT nodes) are refined first with the letter of the given name, which all are,
+    and then with the variants of the core; what is left in one is compared.
     """
     keyed = nodes.withColumn("key", F.explode(F.array_distinct(_keys(F.col("kind"), F.col("core"), F.col("rest")))))
     both = keyed.where((F.length("core") == 8)).withColumn("key", F.explode(F.array(F.concat_ws("\x1f", F.lit("s"), "kind", F.right("core", F.lit(3)), F.substring("rest", 1, 1)), F.concat_ws("\x1f", F.lit("p"), "kind", F.left("core", F.lit(3)), F.substring("rest", 1, 1)))))
-    keyed = keyed.unionByName(both).distinct()
-    a = keyed.select("key", "kind", *[F.col(c).alias(f"{c}_a") for c in ("node", "core", "rest", "size")], F.col("common").alias("full_a"))
-    b = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "core", "rest", "size")], F.col("common").alias("full_b"))
+    keyed = written(keyed.unionByName(both).distinct())
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    keyed = refined(keyed, hot, "core")
+    a = keyed.select("key", "kind", *[F.col(c).alias(f"{c}_a") for c in ("node", "core", "rest")], F.col("common").alias("full_a"))
+    b = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "core", "rest")], F.col("common").alias("full_b"))
     near = F.abs(F.length("core_a") - F.length("core_b")) <= 3
     pairs = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & near).drop("key").distinct()
     judged = pairs.mapInArrow(_judge, pairs.schema)
     return judged.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def _fitting(open_: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+def _fitting(open_: DataFrame, nodes: DataFrame, label: DataFrame, nick: DataFrame) -> DataFrame:
     """(node, entity): the entities of full names that a short form may stand for, by core first and slips of the core after."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = (b.column(c).to_pylist() for c in ("core", "rest", "core_b", "rest_b"))
-            keep = [close(c, d) and (r == "" or is_short_of(r, s)) for c, r, d, s in zip(*cols)]
+            cols = (b.column(c).to_pylist() for c in ("core", "rest", "core_b", "rest_b", "learned"))
+            keep = [close(c, d) and (r == "" or learned or is_short_of(r, s)) for c, r, d, s, learned in zip(*cols)]
             yield b.filter(pa.array(keep, type=pa.bool_()))
 
     def keyed(d: DataFrame, core: str) -> DataFrame:
         low = F.lit(SUFFIX)
-        return d.withColumn("key", F.explode(F.array(F.concat(F.lit("s"), F.right(core, low)), F.concat(F.lit("p"), F.left(core, low)))))
+        return d.withColumn("key", F.explode(F.array(F.concat(F.lit("s\x1fperson\x1f"), F.right(core, low)), F.concat(F.lit("p\x1fperson\x1f"), F.left(core, low)))))
 
     target = nodes.join(label, "node").select(F.col("core").alias("core_b"), F.col("rest").alias("rest_b"), F.col("component").alias("entity")).distinct()
-    pairs = keyed(open_, "core").join(keyed(target, "core_b"), "key").where((F.abs(F.length("core") - F.length("core_b")) <= 2) & ((F.left("rest", F.lit(1)) == F.left("rest_b", F.lit(1))) | (F.length("rest") > 1) | (F.col("rest") == "")))
-    pairs = pairs.drop("key").distinct()
+    one, other = keyed(open_, "core"), keyed(target, "core_b")
+    hot = other.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    met = refined(one, hot, "core").join(refined(other, hot, "core_b"), "key")
+    pairs = met.where((F.abs(F.length("core") - F.length("core_b")) <= 2) & ((F.left("rest", F.lit(1)) == F.left("rest_b", F.lit(1))) | (F.length("rest") > 1) | (F.col("rest") == "")))
+    known = nick.select(F.col("less").alias("rest"), F.col("more").alias("rest_b"), F.lit(True).alias("learned"))
+    pairs = pairs.drop("key").distinct().join(known, ["rest", "rest_b"], "left").withColumn("learned", F.coalesce("learned", F.lit(False)))
     fit = pairs.mapInArrow(judge, pairs.schema)
     exact = fit.withColumn("same", F.col("core") == F.col("core_b"))
     best = exact.groupBy("node").agg(F.max("same").alias("best"))

@@ -110,6 +110,38 @@ def test_names(spark):
     assert names.pairs(names.link(meta(spark, rows).where("text_id < 0"))).count() == 0
 
 
+def test_names_used_often(spark, monkeypatch):
+    """How often two spellings are used decides nothing, nor does the size at which blocks are refined."""
+    pair = {("Morgenstrund_Karl", "Mrogenstrund_Karl")}
+    for n, hot in ((1, 64), (4, 1), (10, 1), (1000, 64)):
+        monkeypatch.setattr(names, "HOT", hot)
+        rows = [(2 * i, f"Morgenstrund_Karl_A{i}_1800", None) for i in range(n)] + [(2 * i + 1, f"Mrogenstrund_Karl_B{i}_1800", None) for i in range(n)]
+        assert {tuple(r) for r in names.pairs(names.link(meta(spark, rows))).collect()} == pair
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcd", max_size=17), st.text("abcd", max_size=17), st.integers(0, 3), st.randoms())
+def test_close_cores_share_a_variant(a, b, edits, rnd):
+    def shared(x):  # as variants() has it
+        one = {x[:i] + x[i + 1 :] for i in range(len(x))}
+        return {x} | one | ({y[:i] + y[i + 1 :] for y in one for i in range(len(y))} if len(x) >= 14 else set())
+
+    b = b if edits == 3 else a
+    for _ in range(edits % 3):
+        i = rnd.randrange(len(b) + 1)
+        b = rnd.choice([b[:i] + "e" + b[i:], b[:i] + b[i + 1 :], b[:i] + "e" + b[i + 1 :]])
+    if names.close(a, b):
+        assert shared(a) & shared(b)
+
+
+def test_variants(spark):
+    words = ["", "a", "abcd", "abcdefghijklmn"]
+    got = {r["w"]: set(r["v"]) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", names.variants(F.col("w")).alias("v")).collect()}
+    for w in words:
+        one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        assert got[w] == {w} | one | ({y[:i] + y[i + 1 :] for y in one for i in range(len(y))} if len(w) >= 14 else set())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_lcs(a, b):
