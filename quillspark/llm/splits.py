@@ -6,10 +6,10 @@ records that are joined directly or through others. Group sizes are then placed
 a subset-sum bitset over the multiplicities of the sizes finds the reachable total closest
 to each split's share, and which sizes make it up.
 
-The bitset has one bit a unit of records. Sizes and multiplicities go to the driver, never
-groups: there are at most about sqrt(2 n) different sizes. Beyond MAX_UNITS records the
-sizes are counted in larger units for the bitset alone: the sizes under a unit are then
-placed by their sum, and every group still gets its split.
+The bitset has one bit a record. Sizes and multiplicities go to the driver, never groups:
+there are at most about sqrt(2 n) different sizes. Beyond MAX_UNITS records the bitset is
+over the smaller groups, which fill what the larger ones leave; the totals are the closest
+at any number of records.
 
 Odd input: records without author, file name and volume are groups of their own, as are
 anonymous ones without a volume; null ids are dropped; repeated rows change nothing.
@@ -17,6 +17,8 @@ anonymous ones without a volume; null ids are dropped; repeated rows change noth
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,35 +79,42 @@ def closest_subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     return chosen
 
 
+def closest(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """closest_subset() of any number of records, without a bitset of them all where it isn't needed.
+
+    Beyond MAX_UNITS bits the larger sizes are placed from the largest, as many as fit, and the bitset is over
+    the smaller ones, which fill what is left. Totals are multiples of the greatest common divisor of all
+    sizes, so a total as close as a multiple can be is the closest. Only if that isn't met is the bitset
+    over all records, whatever their number.
+    """
+    if min(sum(s * n for s, n in sizes.items()), 2 * target) <= MAX_UNITS or not sizes:
+        return closest_subset(sizes, target)
+    step = math.gcd(*sizes)
+    nearest = min(target % step, step - target % step)
+    small: dict[int, int] = {}
+    room = MAX_UNITS
+    for s in sorted(sizes):
+        small[s] = min(sizes[s], room // s)
+        room -= s * small[s]
+    left, take = target, {}
+    for s in sorted(sizes, reverse=True):
+        take[s] = min(sizes[s] - small[s], left // s)
+        left -= s * take[s]
+    small = {s: n for s, n in small.items() if n}
+    fill = closest_subset(small, min(left, MAX_UNITS))
+    if abs(left - sum(s * n for s, n in fill.items())) == nearest:
+        return {s: n + fill.get(s, 0) for s, n in take.items()}
+    return closest_subset(sizes, target)
+
+
 def plan(sizes: dict[int, int], shares: list[tuple[str, float]]) -> list[tuple[str, int, int, int]]:
     """(split, size, from, to): of the groups of each size, in their order, those from up to but without to are in the split."""
     total = sum(s * n for s, n in sizes.items())
-    unit = max(1, -(-total // MAX_UNITS))
     left, used, out = dict(sizes), dict.fromkeys(sizes, 0), []
     rest = sum(p for _, p in shares)
     # the smallest shares first: they are the hardest to meet
     for k, (split, share) in enumerate(ordered := sorted(shares, key=lambda x: x[1])):
-        if k == len(ordered) - 1:
-            take = dict(left)
-        else:
-            want = round(total * share / rest)
-            if unit == 1:
-                take = closest_subset(left, want)
-            else:
-                large = {s: n for s, n in left.items() if s >= unit}
-                merged: dict[int, int] = {}
-                for s, n in large.items():
-                    merged[s // unit] = merged.get(s // unit, 0) + n
-                small = sum(s * n for s, n in left.items() if s < unit)
-                part = closest_subset(merged, max(0, round((want - small * share / rest) / unit)))
-                take = {}
-                for s, n in large.items():
-                    take[s] = min(n, part.get(s // unit, 0))
-                    part[s // unit] = part.get(s // unit, 0) - take[s]
-                short = want - sum(s * n for s, n in take.items())
-                for s in sorted((x for x in left if x < unit), reverse=True):
-                    take[s] = max(0, min(left[s], short // s))
-                    short -= s * take[s]
+        take = dict(left) if k == len(ordered) - 1 else closest({s: n for s, n in left.items() if n}, round(total * share / rest))
         for size, n in take.items():
             if n:
                 out.append((split, size, used[size], used[size] + n))

@@ -175,16 +175,26 @@ def test_closest_subset(sizes, target):
     assert abs(sum(s * k for s, k in got.items()) - target) == min(abs(x - target) for x in sums)
 
 
-def test_plan_in_larger_units(monkeypatch):
-    sizes = {1: 500, 3: 40, 70: 5, 333: 2}
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 12).map(lambda x: x * x), st.integers(1, 9), min_size=1, max_size=6), st.integers(0, 900), st.sampled_from([1, 5, 40, 200]))
+def test_closest_beyond_the_bitset(sizes, target, most):
+    off = lambda got: abs(sum(s * k for s, k in got.items()) - target)
+    exact, before = off(splits.closest_subset(sizes, target)), splits.MAX_UNITS
+    splits.MAX_UNITS = most
+    try:
+        got = splits.closest(sizes, target)
+    finally:
+        splits.MAX_UNITS = before
+    assert off(got) == exact and all(0 <= k <= sizes[s] for s, k in got.items())
+
+
+def test_plan_of_very_many_records(monkeypatch):
     shares = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
-    exact = splits.plan(sizes, shares)
-    monkeypatch.setattr(splits, "MAX_UNITS", 100)
-    total = sum(s * n for s, n in sizes.items())
-    for p in (exact, splits.plan(sizes, shares)):
+    for most, sizes in ((100, {1: 500, 3: 40, 70: 5, 333: 2}), (1 << 20, {1: 10**9, 2: 10**8, 17: 10**6, 10**8: 3})):
+        monkeypatch.setattr(splits, "MAX_UNITS", most)
+        p, total = splits.plan(sizes, shares), sum(s * n for s, n in sizes.items())
         got = {k: sum(s * (b - a) for x, s, a, b in p if x == k) for k, _ in shares}
-        assert sum(got.values()) == total
-        assert all(abs(got[k] - share * total) <= 0.03 * total for k, share in shares)
+        assert sum(got.values()) == total and all(abs(got[k] - share * total) <= 1 for k, share in shares)
         for s, n in sizes.items():
             cells = sorted((a, b) for _, x, a, b in p if x == s)
             assert cells[0][0] == 0 and cells[-1][1] == n and all(x[1] == y[0] for x, y in zip(cells, cells[1:]))
