@@ -301,6 +301,62 @@ def test_leaks_both_ways(spark):
     assert leaks.found(d.where("doc_id < 0"), b).count() == 0 and leaks.found(d, b.where("item_id < 0")).count() == 0
 
 
+def test_leaks_of_items_under_several_ids(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(600)]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    base = [(i, "Read the passage and answer the question that follows it now. " + say(70)) for i in range(8)]
+    docs = [(i, say(40) + " " + " ".join(base[i % 8][1].split()[11:60]) + " " + say(5000 if i == 3 else 30)) for i in range(24)]
+    docs += [(50 + i, "Read the passage and answer the question that follows it now. " + say(60)) for i in range(5)]
+    # every seed of item 7 is in many other items, which are no copies of it
+    quoting = [(1000 + i, say(70) + " " + " ".join(base[7][1].split()[a : a + 14]) + " " + say(70)) for a in range(11, 70, 10) for i in range(10 * a, 10 * a + 6)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for copies, edit, more in ((1, 0, []), (2, 0, []), (3, 0, []), (10, 0, []), (10, 1, []), (1, 0, quoting)):
+        rows = []
+        for k in range(copies):
+            for i, t in base:
+                w = t.split()
+                if edit and k:
+                    w[20 + 4 * k] = "edited"
+                rows.append((100 * k + i, " ".join(w)))
+        b = spark.createDataFrame(rows + more, "item_id long, text string")
+        got = {tuple(r) for r in leaks.found(d, b).where("item_id < 1000").collect()}
+        if more:
+            got, want = {x for x in got if x[1] != 7}, {(i, i % 8) for i in range(24) if i % 8 != 7}
+        else:
+            want = {(i, 100 * k + i % 8) for i in range(24) for k in range(copies)}
+        assert got == want
+        if copies == 3:
+            assert {tuple(r) for r in leaks.found(d, b, broadcast_seeds=0).collect()} == want
+        if more:
+            full, seeds, _ = leaks.prepared(b, "item_id", "text")
+            assert seeds.where("item = 7").count() >= 1 or full.where("item = 7").count() == 0
+
+
+def test_alignment_in_blocks(monkeypatch):
+    """Blocks of any size find the stretches that the whole texts have."""
+    rng = np.random.default_rng(9)
+    item = rng.integers(1, 10**6, 300).astype(np.uint64)
+    own = np.ones(300, dtype=np.uint8)
+    doc = rng.integers(10**6, 10**7, 3000).astype(np.uint64)
+    doc[500:580], doc[1500:1620], doc[2800:2900] = item[:80], item[100:220], item[200:300]
+    want = 80 + 120 + 80
+    assert leaks.stretches(item, doc, own) == want
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 64)
+    monkeypatch.setattr(leaks, "DOC_BLOCK", 256)
+    assert leaks.stretches(item, doc, own) >= want - 3 * leaks.MIN_STRETCH
+    monkeypatch.setattr(leaks, "MARGIN", 50)
+    g = leaks.grams(item, leaks.SEED).astype(np.int64)
+    order = np.argsort(g)
+    n, where = leaks.places(g[order], order, 300, leaks.grams(doc, leaks.SEED).astype(np.int64))
+    assert n == 76 + 116 + 96 - 16 and leaks.stretches(item, doc, own, places=where) >= want - 3 * leaks.MIN_STRETCH
+    assert sum(len(x) for x in leaks.blocks(doc, [(-5, 10), (5, 30), (2990, 4000)])) == 40
+    # many scraps all count, however many there are
+    monkeypatch.undo()
+    scraps = np.concatenate([np.concatenate([item[k : k + 12], rng.integers(10**7, 10**8, 30).astype(np.uint64)]) for k in range(0, 240, 24)])
+    assert leaks.stretches(item, scraps, own) >= 10 * 12
+
+
 def test_alignment_against_plain_dynamic_programme():
     rng = np.random.default_rng(3)
     for _ in range(30):
