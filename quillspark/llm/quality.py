@@ -216,7 +216,8 @@ def describe(text: str) -> tuple:
     counts = Counter(words)
     lone = sum(n for w, n in counts.items() if len(w) == 1)
     readable = sum(len(w) * n for w, n in counts.items() if _readable(w)) / solid
-    common = sum(n for w, n in counts.items() if _sort(w) == 1) / len(words) if words else 0.0
+    # a single capital is a letter of an index rather than an article
+    common = sum(n for w, n in counts.items() if _sort(w) == 1 and not (len(w) == 1 and w.isupper())) / len(words) if words else 0.0
     lower = sum(n for w, n in counts.items() if w[0].islower()) / len(words) if words else 0.0
     odd = len(ODD.findall(text)) / solid
     distinct = len({w.lower() for w in counts}) / len(words) if words else 0.0

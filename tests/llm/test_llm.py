@@ -374,7 +374,7 @@ KINDS = {
     "prose": [PROSE, PROSE.upper(), PROSE.lower().replace(",", "").replace(".", ""), re.sub(r"(.{20,30}) ", r"\1\n", PROSE), "Der alte Müller ging am Abend zum Fluss, und niemand wusste, was er dort wollte.", PROSE + "\n- apples\n- pears\n- plums\n" + PROSE],
     "list": ["- The Old Mill\n- The Young Mill\n- A Cold Lamp\n- The River", "1. Anna Berg\n2. Otto Tal\n3. Karl Hof\n4. Emma See", "Anna Berg / Otto Tal / Karl Hof / Emma See / Paul Au", "Anna Berg\nOtto Tal\nKarl Hof\nEmma See"],
     "table": ["Year\tTitle\tPrice\n1801\tThe Mill\t2.50\n1802\tThe Lamp\t3.10\n1803\tA River\t1.00", "| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |\n| 4 | 5 | 6 |", "1801,\"The Mill\",2.5\n1802,\"A, B\",3.5\n1803,\"C\",4.5", "Anna   1801  2.50\nOtto   1802  3.10\nKarl   1803  1.00\nEmma   1804  9.99"],
-    "junk": ["xkcdq wrtzp lmnbv qrstw zxcvb plkjh mnbvc", "_" * 300, "{}|\\~^<>@#$%" * 10, "<div><span class=\"a\"></span><a href=\"x\"></a>&nbsp;</div>" * 5, "login " * 60, "Home >> Top | Login | Home >> RSS Top | Login Home | RSS >> Top Home"],
+    "junk": ["xkcdq wrtzp lmnbv qrstw zxcvb plkjh mnbvc", "_" * 300, "{}|\\~^<>@#$%" * 10, "<div><span class=\"a\"></span><a href=\"x\"></a>&nbsp;</div>" * 5, "login " * 60, "Home >> Top | Login | Home >> RSS Top | Login Home | RSS >> Top Home", "Suche Home Suche >> A-Z A-Z RSS >> | (0) Print | (0) >> Suche >> << A-Z Top"],
 }
 
 
@@ -393,6 +393,9 @@ _NAMED = iter(f"{a}{b}{c}" for a in ("Ber", "Hol", "Mar", "Tan", "Wil") for b in
 _ENTRIES = [" ".join(itertools.islice(_NAMED, n)) for n in (14, 10, 10) * 4]
 INDENTED = "\n".join("      " * (i % 2) + " ".join(x.split()[:10]) for i, x in enumerate(_ENTRIES))
 LENGTHS = "\n".join(_ENTRIES)
+_ALL = " ".join(_ENTRIES).split()
+_SIZES = [10, 11, 12, 13, 14, 15, 16, 17, 18, 19]
+INDENTS = "\n".join("    " * (i % 2) + " ".join(_ALL[sum(_SIZES[:i]) : sum(_SIZES[: i + 1])]) for i in range(len(_SIZES)))
 
 
 def test_layout_that_repeats():
@@ -420,6 +423,28 @@ quid, si praeripiat flavae Venus arma Minervae,
     assert got == {0: "list", 1: "list"}
 
 
+#: A table some of whose cells are empty: only the columns of characters show it.
+ALIGNED = """Anna     1801     2.50   Holtal
+Otto              3.10   Rumark
+Karl     1803            Winsee
+         1804     9.99   Tanau
+Emma     1805     1.00
+Paul              7.25   Belmi"""
+
+
+def test_each_signal_of_the_method_decides(spark, monkeypatch):
+    """Without columns of characters, periods of indentation or of line lengths, a case of each is lost."""
+    df = spark.createDataFrame([(0, INDENTS), (1, LENGTHS), (2, ALIGNED)], "doc_id long, text string")
+    lay = quality.layout(df)
+    kinds = lambda d: {r["doc_id"]: r["kind"] for r in d.select("doc_id", quality.kind_of().alias("kind")).where("kind IS NOT NULL").collect()}
+    assert kinds(lay) == {0: "list", 1: "list", 2: "table"}
+    assert kinds(lay.withColumn("indent_autocorrelation", F.lit(0.0))).get(0) is None
+    assert kinds(lay.withColumn("line_autocorrelation", F.lit(0.0))).get(1) is None
+    share = dict(zip(quality._NAMES, quality.describe(ALIGNED)))["table_share"]
+    monkeypatch.setattr(quality, "_columns", lambda lines: 0.0)
+    assert share > 0.9 and dict(zip(quality._NAMES, quality.describe(ALIGNED)))["table_share"] < 0.65
+
+
 # 5 scans
 def test_scans(spark):
     pure = ["The gentle farmer carried the heavy basket to the quiet village", "A modest sailor described the distant harbour before the winter", "Nobody remembered the broken wagon near the narrow bridge", "The gentle sailor carried the broken basket near the harbour"]
