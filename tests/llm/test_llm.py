@@ -426,10 +426,11 @@ quid, si praeripiat flavae Venus arma Minervae,
 #: A table some of whose cells are empty: only the columns of characters show it.
 ALIGNED = """Anna     1801     2.50   Holtal
 Otto              3.10   Rumark
-Karl     1803            Winsee
-         1804     9.99   Tanau
-Emma     1805     1.00
-Paul              7.25   Belmi"""
+Karl     1803     4.00   Winsee
+         1804     9.99
+Emma                     Tanau
+Paul     1805     7.25   Belmi
+Gerd     1806"""
 
 
 def test_each_signal_of_the_method_decides(spark, monkeypatch):
