@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import written
+from quillspark.session import done_with, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -23,20 +23,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     label: DataFrame | None = None
     for _ in range(rounds):
         both = now.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(now.select(F.col("v").alias("node"), F.col("u").alias("near")))
-        parent = both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("parent"))
+        first = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("parent")))
+        parent = first
         for _ in range(2):
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("upper"))
             parent = parent.join(up, "parent").select("node", F.col("upper").alias("parent"))
-            parent = written(parent)
+        parent = written(parent)
+        done_with(first)
         if label is None:
-            label = parent.select("node", F.col("parent").alias("component"))
+            label, last = written(parent.select("node", F.col("parent").alias("component"))), None
         else:
             step = parent.select(F.col("node").alias("component"), "parent")
-            label = label.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        label = written(label)
+            last, label = label, written(label.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
         pu, pv = parent.select(F.col("node").alias("u"), F.col("parent").alias("pu")), parent.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        left = now.join(pu, "u").join(pv, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
-        now = written(left.distinct())
+        left = written(now.join(pu, "u").join(pv, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+        done_with(last, now, parent)
+        now = left
         if now.isEmpty():
+            done_with(now)
             return label
     raise RuntimeError(f"the components did not settle in {rounds} rounds of {kind}")

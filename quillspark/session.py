@@ -27,13 +27,20 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), f"quillspark-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", "file://" + at)
-        at = "file://" + at
-        spark.sparkContext.setCheckpointDir(at)
+    """The folder all executors share: spark.checkpoint.dir, else the checkpoint directory set on the context.
+
+    Only where all tasks run in this process a folder of this machine is taken if neither is set (tests);
+    elsewhere that is an error, as each executor would write to a disk of its own.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    at = "file://" + os.path.join(tempfile.gettempdir(), f"quillspark-{os.getpid()}")
+    spark.conf.set("spark.checkpoint.dir", at)
+    spark.sparkContext.setCheckpointDir(at)
     return at
 
 
@@ -46,14 +53,28 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass  # the session may have gone
 
 
+#: Path of each table that written() has made and that is still there.
+_tables: dict[int, tuple[DataFrame, str]] = {}
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors.
 
-    The table is removed when the driver ends, since the DataFrame returned is lazy.
+    The table is removed by done_with(), else when the driver ends, since the DataFrame returned is lazy.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = (out, path)
+    return out
+
+
+def done_with(*tables: DataFrame | None) -> None:
+    """Removes tables that written() has made and that no DataFrame still to be run reads."""
+    for t in tables:
+        kept = _tables.pop(id(t), None)
+        if kept:
+            _drop(t.sparkSession, kept[1])
