@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import distance as D
 from quillspark.operators import ngrams as N
 from quillspark.operators import segment
+from quillspark.operators.numbering import numbered
+from quillspark.session import once, written
 
 
 def entropy(cnt: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -16,11 +19,23 @@ def entropy(cnt: DataFrame, key: str = "doc_id") -> DataFrame:
     return cnt.groupBy(key).agg(F.round(F.ln(n) - F.sum(F.col("cnt") * F.ln("cnt")) / n, 6).alias("entropy"))
 
 
-def flesch(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Reading ease, with the German constants for German texts; syllables are runs of vowels, at least one a word.
+def reading_ease(words: Column, n_sentences: Column) -> Column:
+    """Flesch's score by the English formula; syllables are runs of vowels, at least one a word; null without sentences."""
+    vowels = "[aeiouyäöüàâéèêëîïôûùáíóú]+"
+    y = F.aggregate(words, F.lit(0), lambda a, x: a + F.greatest(F.size(F.regexp_extract_all(x, F.lit(vowels), F.lit(0))), F.lit(1))).cast("double")
+    n, s = F.nullif(F.size(words), F.lit(0)).cast("double"), F.nullif(n_sentences, F.lit(0)).cast("double")
+    return 206.835 - 1.015 * n / s - 84.6 * y / n
+
 
-    Documents without words have no row; one without sentences has a null.
+def flesch(df: DataFrame, key: str = "doc_id", german: bool = False) -> DataFrame:
+    """Reading ease by the English formula for all texts, or with the German constants for German ones.
+
+    Syllables are runs of vowels, at least one a word. Documents without words have no row; one without
+    sentences has a null.
     """
+    if not german:
+        plain = df.select(key, F.col("text").alias("_t"), T.words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+        return plain.select(key, F.round(reading_ease(F.col("_w"), F.size(T.sentences(F.col("_t")))), 6).alias("flesch"))
     w = df.select(key, "lang", F.col("text").alias("_t"), T.words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
     vowels = "[aeiouyäöüàâéèêëîïôûùáíóú]+"
     y = F.aggregate("_w", F.lit(0), lambda a, x: a + F.greatest(F.size(F.regexp_extract_all(x, F.lit(vowels), F.lit(0))), F.lit(1))).cast("double")
@@ -52,28 +67,37 @@ def stepwise(vectors: DataFrame, group: str = "label", vec: str = "embedding", o
     return d.groupBy(group).agg(F.round(F.avg("dist"), 6).alias("stepwise"))
 
 
+def _centres(vectors: DataFrame, group: str, vec: str) -> DataFrame:
+    c = centroids(vectors, group, vec)
+    return written(c.select(F.col(group).alias("_key"), F.col("centroid").alias("vec"), F.col("n").cast("int").alias("k")))
+
+
 def overlap(vectors: DataFrame, group: str = "label", vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """Share of the k vectors nearest to a book's centroid that are of other books, k being its chunks.
 
-    Books are the stated queries against all chunk vectors; the centroids go to the vectors by a
-    broadcast hint that Spark drops beyond its size limit.
+    Books are the stated queries, in blocks, against all chunk vectors; a task keeps the k nearest of a book
+    at most. The ranks come from one sort over all books, so a book that holds a third of all chunks is no
+    single task.
     """
-    c = centroids(vectors, group, vec).select(F.col(group).alias("_book"), "centroid", F.col("n").alias("_k"))
-    pairs = vectors.crossJoin(c).withColumn("_d", F.round(F.sqrt(squared_distance(F.col(vec), F.col("centroid"))), 9))
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("_book").orderBy("_d", key))).where("_r <= _k")
-    return near.groupBy(F.col("_book").alias(group)).agg(F.round(F.avg((F.col(group) != F.col("_book")).cast("double")), 6).alias("overlap"))
+    rows = vectors.select(F.struct(F.col(key).alias("k"), F.col(group).alias("g")).alias("_key"), F.transform(vec, lambda x: x.cast("double")).alias("vec"))
+    c = _centres(vectors, group, vec)
+    pairs = D.against(rows, c, "euclid", digits=9, k="k")
+    ranked = numbered(pairs.select(F.col("query").alias("_book"), "value", F.col("other.k").alias("_k"), F.col("other.g").alias("_g")), "_n", "_book", "value", "_k")
+    first = ranked.groupBy("_book").agg(F.min("_n").alias("_first"))
+    near = ranked.join(first, "_book").join(c.select(F.col("_key").alias("_book"), F.col("k").alias("_most")), "_book").where(F.col("_n") - F.col("_first") < F.col("_most"))
+    return near.groupBy(F.col("_book").alias(group)).agg(F.round(F.avg((F.col("_g") != F.col("_book")).cast("double")), 6).alias("overlap"))
 
 
 def outlier(vectors: DataFrame, group: str = "label", vec: str = "embedding") -> DataFrame:
     """Distance of a book's centroid to the nearest other one."""
-    c = centroids(vectors, group, vec)
-    other = c.select(F.col(group).alias("_other"), F.col("centroid").alias("_c"))
-    pairs = c.join(other, F.col(group) != F.col("_other")).withColumn("_d", F.sqrt(squared_distance(F.col("centroid"), F.col("_c"))))
-    return pairs.groupBy(group).agg(F.round(F.min("_d"), 6).alias("outlier"))
+    c = _centres(vectors, group, vec)
+    pairs = D.against(c.select("_key", "vec"), c.withColumn("k", F.lit(2)), "euclid", digits=6, k="k")
+    return pairs.where("other <> query").groupBy(F.col("query").alias(group)).agg(F.min("value").alias("outlier"))
 
 
 def corpus_distance(cnt: DataFrame, key: str = "doc_id") -> DataFrame:
     """Cosine distance of a document's counts to those of the rest of the corpus, from sums alone: nothing is densified."""
+    cnt = once(cnt)
     total = cnt.groupBy("ngram").agg(F.sum("cnt").cast("double").alias("_t"))
     square = total.agg(F.sum(F.col("_t") * F.col("_t")).alias("_t2"))
     p = cnt.join(total, "ngram").groupBy(key).agg(F.sum(F.col("cnt") * F.col("_t")).alias("_ct"), F.sum(F.col("cnt").cast("double") * F.col("cnt")).alias("_c2"))
@@ -110,13 +134,62 @@ def tag_ngrams(df: DataFrame, n: int = 2, top: int = 100, key: str = "doc_id") -
     return kept.select(key, "tag", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(key)), 9).alias("rel"))
 
 
+#: The features of a text, whole or a chunk, in the order of their columns.
+FEATURES = [
+    "ratio_of_punctuation_marks", "ratio_of_whitespaces", "ratio_of_exclamation_marks", "ratio_of_question_marks", "ratio_of_commas", "ratio_of_uppercase_letters", "average_number_of_words_in_sentence", "maximum_number_of_words_in_sentence", "nr_chars", "nr_words",
+    "nr_sentences", "longest_word_length", "average_word_length", "unigram_entropy", "bigram_entropy", "trigram_entropy", "type_token_ratio", "flesch_reading_ease_score",
+]
+
+
+def piece_features(df: DataFrame, keys: list[str], text: str = "text", sentences: str | None = None) -> DataFrame:
+    """(keys, FEATURES) of texts or chunks with words: ratios and lengths in one scan, n-gram measures from one shuffle of counts.
+
+    sentences names a column with the sentences; without it they are cut from the text. Values are rounded to
+    6 digits. Entropies of n-grams of which a text has none are null.
+    """
+    low, t = F.lower(F.col(text)), F.col(text)
+    sents = F.col(sentences) if sentences else T.sentences(t)
+    base = df.select(*keys, t.alias("_t"), low.alias("_l"), sents.alias("_s"), T.words(t).alias("_w")).where(F.size("_w") > 0)
+    base = base.withColumn("_n", segment.sentence_lengths(F.col("_s")))
+    share = lambda chars: T.ratio(T.count_of(F.col("_l"), chars), F.length("_l"))
+    plain = base.select(
+        *keys,
+        share(T.MARKS).alias("ratio_of_punctuation_marks"), share(" ").alias("ratio_of_whitespaces"), share("!").alias("ratio_of_exclamation_marks"), share("?").alias("ratio_of_question_marks"), share(",").alias("ratio_of_commas"),
+        T.ratio(F.length(F.regexp_replace("_t", r"[^\p{Lu}]", "")), F.length(F.regexp_replace("_t", r"[^\p{L}]", ""))).alias("ratio_of_uppercase_letters"),
+        T.ratio(F.aggregate("_n", F.lit(0), lambda a, n: a + n), F.size("_n")).alias("average_number_of_words_in_sentence"), F.array_max("_n").cast("long").alias("maximum_number_of_words_in_sentence"),
+        F.length("_t").cast("long").alias("nr_chars"), F.size(F.regexp_extract_all("_t", F.lit(r"[^ \t\n\r\f]+"), F.lit(0))).cast("long").alias("nr_words"), F.size("_s").cast("long").alias("nr_sentences"),
+        F.round(reading_ease(F.col("_w"), F.size("_s")), 6).alias("flesch_reading_ease_score"),
+    )
+    cnt = N.piece_counts(df, keys, 3, text)
+    of = lambda n, x: F.when(F.col("n") == n, x)
+    entropy_ = lambda n: F.round(F.ln(F.sum(of(n, F.col("cnt")))) - F.sum(of(n, F.col("cnt") * F.ln("cnt"))) / F.sum(of(n, F.col("cnt"))), 6)
+    ones = F.sum(of(1, F.col("cnt")))
+    counted = cnt.groupBy(*keys).agg(
+        F.max(of(1, F.length("ngram"))).cast("long").alias("longest_word_length"), F.round(F.sum(of(1, F.length("ngram") * F.col("cnt"))) / ones, 6).alias("average_word_length"),
+        entropy_(1).alias("unigram_entropy"), entropy_(2).alias("bigram_entropy"), entropy_(3).alias("trigram_entropy"), F.round(F.count(of(1, F.lit(1))) / ones, 6).alias("type_token_ratio"),
+    )
+    return plain.join(counted, keys).select(*keys, *FEATURES)
+
+
+def suffixed(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in keys])
+
+
 def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """All features of a document with words, in one join of two aggregates."""
-    low = F.lower("text")
-    chars = df.select(key, T.ratio(T.count_of(low, ","), F.length(low)).alias("comma"), T.ratio(T.count_of(low, "!"), F.length(low)).alias("exclamation"))
-    n = F.sum("cnt")
-    words = N.counts(df, key=key).groupBy(key).agg(F.round(F.ln(n) - F.sum(F.col("cnt") * F.ln("cnt")) / n, 6).alias("entropy"), F.round(F.count("*") / n, 6).alias("ttr"), F.max(F.length("ngram")).cast("long").alias("longest"))
-    return chars.join(words, key)
+    """(key, FEATURES, unigram_distance): the features of a document and its distance to the rest of the corpus, in one join on the key."""
+    return piece_features(df, [key]).join(corpus_distance(N.counts(df, 1, 2, key), key).withColumnRenamed("distance", "unigram_distance"), key, "left")
+
+
+def levels(df: DataFrame, key: str = "doc_id", size: int = 100) -> dict[str, DataFrame]:
+    """The four tables of features: of books, of chunks, of books with the means of their chunks, and of chunks with those of their book."""
+    book = written(suffixed(piece_features(df, [key]), [key], "full"))
+    parts = written(segment.chunk_rows(df, key, size=size))
+    pieces = parts.select(key, "chunk_idx", F.array_join("sentences", " ").alias("text"), "sentences")
+    chunk = written(suffixed(piece_features(pieces, [key, "chunk_idx"], sentences="sentences"), [key, "chunk_idx"], "chunk"))
+    # sums of whole millionths are exact in any order
+    mean = lambda c: F.floor(F.sum(F.round(F.col(c) * 1e6)) / F.count(c) + 0.5) / 1e6
+    means = chunk.groupBy(key).agg(*[mean(f"{c}_chunk").alias(f"{c}_chunk") for c in FEATURES])
+    return {"book": book, "chunk": chunk, "baac": book.join(means, key), "cacb": chunk.join(book, key)}
 
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import once
 
 
 def grams(words: Column, n: int) -> Column:
@@ -26,8 +27,21 @@ def counts(df: DataFrame, n: int = 1, min_df: int = 1, key: str = "doc_id", text
     return df_filter(out, min_df) if min_df > 1 else out
 
 
+def piece_counts(df: DataFrame, keys: list[str], most: int = 3, text: str = "text") -> DataFrame:
+    """(keys, n, ngram, cnt) for n from 1 to most: the texts are read and cut into words once."""
+    rows = df.select(*keys, T.words(F.col(text)).alias("_w"))
+    tagged = lambda n: F.transform(grams(F.col("_w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
+    each = F.flatten(F.array(*[tagged(n) for n in range(1, most + 1)]))
+    flat = rows.select(*keys, F.explode(each).alias("x")).select(*keys, "x.n", "x.ngram")
+    return flat.groupBy(*keys, "n", "ngram").agg(F.count("*").alias("cnt"))
+
+
 def df_filter(cnt: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
-    """The rows of n-grams whose document frequency is between low and high; both ends count."""
+    """The rows of n-grams whose document frequency is between low and high; both ends count.
+
+    The counts are written first, since they are read twice; the corpus is then read once.
+    """
+    cnt = once(cnt)
     freq = cnt.groupBy("ngram").agg(F.count("*").alias("_df"))
     if low is not None:
         freq = freq.where(F.col("_df") >= low)
@@ -47,6 +61,7 @@ def totals(cnt: DataFrame) -> DataFrame:
 
 def relative(cnt: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, ngram, rel): share of the document's n-grams."""
+    cnt = once(cnt)
     size = cnt.groupBy(key).agg(F.sum("cnt").alias("_n"))
     return cnt.join(size, key).select(key, "ngram", (F.col("cnt") / F.col("_n")).alias("rel"))
 
@@ -67,7 +82,8 @@ def vectors(cnt: DataFrame, n: int, key: str = "doc_id") -> tuple[DataFrame, Dat
     The list has n rows whatever the corpus, so it is broadcast. Documents that have words, but none of
     these, have a vector of zeros.
     """
-    words = most_frequent(cnt, n, key)
+    cnt = once(cnt)
+    words = once(most_frequent(cnt, n, key))
     size = cnt.groupBy(key).agg(F.sum("cnt").alias("_n"))
     hit = cnt.join(F.broadcast(words.select("ngram", "rank")), "ngram").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rank", "cnt"))).alias("_m"))
     both = size.join(hit, key, "left")

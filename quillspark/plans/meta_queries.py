@@ -96,21 +96,8 @@ def author_names(s, d):
     return md(s, d).where("file_name IS NOT NULL").select(fa().alias("name")).distinct().withColumn("a", ascii_(F.col("name")))
 
 
-def names_match(s, d):
-    """Each spelling of an author in file names with the closest other one, up to 4 edits apart.
-
-    Names are compared if they share the first three letters of the surname and the first of the given name,
-    as its SQL has it; levenshtein_match_all compares all names.
-    """
-    keyed = author_names(s, d).select("name", "a", F.left("a", F.lit(3)).alias("k"), F.left(F.element_at(F.split("a", "_"), -1), F.lit(1)).alias("g"))
-    near = keyed.join(keyed.select(F.col("name").alias("other"), F.col("a").alias("b"), "k", "g"), ["k", "g"]).where("name <> other").withColumn("dist", F.levenshtein("a", "b")).where("dist <= 4")
-    w = Window.partitionBy("name").orderBy("dist", "other")
-    return near.withColumn("r", F.row_number().over(w)).where("r = 1").select("name", "other", F.col("dist").cast("long").alias("dist"))
-
-
 ASC = f"regexp_replace(translate({FA}, 'äöüÄÖÜßé', 'aouAOUse'), '[^\\x00-\\x7f]', '?', 'g')"
-register("levenshtein_match", names_match, f"WITH n AS (SELECT DISTINCT {FA} AS name, {ASC} AS a FROM metadata WHERE file_name IS NOT NULL), p AS (SELECT x.name, y.name AS other, levenshtein(x.a, y.a) AS dist FROM n x JOIN n y ON left(x.a, 3) = left(y.a, 3) AND left(list_last(string_split(x.a, '_')), 1) = left(list_last(string_split(y.a, '_')), 1) AND x.name <> y.name) SELECT name, other, dist FROM p WHERE dist <= 4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY dist, other) = 1")
-register("levenshtein_match_all", lambda s, d: M.closest_names(author_names(s, d)), f"WITH n AS (SELECT DISTINCT {FA} AS name, {ASC} AS a FROM metadata WHERE file_name IS NOT NULL), p AS (SELECT x.name, y.name AS other, levenshtein(x.a, y.a) AS dist FROM n x JOIN n y ON x.name <> y.name AND abs(length(x.a) - length(y.a)) <= 4) SELECT name, other, dist FROM p WHERE dist <= 4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY dist, other) = 1")
+register("levenshtein_match", lambda s, d: M.closest_names(author_names(s, d)), f"WITH n AS (SELECT DISTINCT {FA} AS name, {ASC} AS a FROM metadata WHERE file_name IS NOT NULL), p AS (SELECT x.name, y.name AS other, levenshtein(x.a, y.a) AS dist FROM n x JOIN n y ON x.name <> y.name AND abs(length(x.a) - length(y.a)) <= 4) SELECT name, other, dist FROM p WHERE dist <= 4 QUALIFY row_number() OVER (PARTITION BY name ORDER BY dist, other) = 1")
 
 
 # labels and validation

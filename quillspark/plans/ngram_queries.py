@@ -52,10 +52,12 @@ register("feat_word_len", lambda s, d: uni(s, d).groupBy("doc_id").agg(F.max(F.l
 register("feat_ttr", lambda s, d: uni(s, d).groupBy("doc_id").agg(F.round(F.count("*") / F.sum("cnt"), 6).alias("ttr")), f"WITH {G1} SELECT doc_id, round(count(*) / sum(cnt), 6) AS ttr FROM g GROUP BY doc_id")
 for k in (1, 2, 3):
     register(f"feat_entropy_{k}", lambda s, d, k=k: X.entropy(N.counts(docs(s, d), k)), f"WITH {grams_sql(k)} SELECT doc_id, round(ln(sum(cnt)) - sum(cnt * ln(cnt)) / sum(cnt), 6) AS entropy FROM g GROUP BY doc_id")
-register("feat_flesch", lambda s, d: X.flesch(docs(s, d)), r"""
-SELECT doc_id, round(CASE WHEN lang = 'de' THEN 180 - w / s - 58.5 * y / w ELSE 206.835 - 1.015 * w / s - 84.6 * y / w END, 6) AS flesch FROM (
+FLESCH = r"""
+SELECT doc_id, round({score}, 6) AS flesch FROM (
  SELECT doc_id, lang, len(words)::DOUBLE AS w, nullif(len(list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: length(x) > 0)), 0)::DOUBLE AS s, list_sum(list_transform(words, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyäöüàâéèêëîïôûùáíóú]+')), 1)))::DOUBLE AS y
- FROM (SELECT doc_id, lang, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words FROM documents)) WHERE w > 0""")
+ FROM (SELECT doc_id, lang, text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS words FROM documents)) WHERE w > 0"""
+register("feat_flesch", lambda s, d: X.flesch(docs(s, d)), FLESCH.replace("{score}", "206.835 - 1.015 * (w / s) - 84.6 * (y / w)"))
+register("feat_flesch_german", lambda s, d: X.flesch(docs(s, d), german=True), FLESCH.replace("{score}", "CASE WHEN lang = 'de' THEN 180 - w / s - 58.5 * y / w ELSE 206.835 - 1.015 * w / s - 84.6 * y / w END"))
 
 # features of vectors: the chunks of a book are the vectors of a label, in the order of their ids
 emb = lambda s, d: table(s, d, "embeddings")
@@ -78,28 +80,74 @@ register("tag_ngrams_rel", lambda s, d: X.tag_ngrams(docs(s, d)), rf"""WITH s AS
 b AS (SELECT doc_id, unnest(list_transform(range(1, len(p)), lambda i: p[i] || '-' || p[i + 1])) AS tag FROM (SELECT doc_id, list_concat(['BOS'], t, ['EOS']) AS p FROM k)),
 c AS (SELECT doc_id, tag, count(*) AS n FROM b GROUP BY doc_id, tag), top AS (SELECT tag FROM c GROUP BY tag ORDER BY sum(n) DESC, tag LIMIT 100)
 SELECT doc_id, tag, round(n / sum(n) OVER (PARTITION BY doc_id), 9) AS rel FROM c WHERE tag IN (SELECT tag FROM top)""")
-FEATS = f"""f AS (SELECT doc_id, {ratio_sql(cnt_sql(','), f'length({LOW})')} AS comma, {ratio_sql(cnt_sql('!'), f'length({LOW})')} AS exclamation FROM documents),
-h AS (SELECT doc_id, round(ln(sum(cnt)) - sum(cnt * ln(cnt)) / sum(cnt), 6) AS entropy, round(count(*) / sum(cnt), 6) AS ttr, max(length(ngram)) AS longest FROM g GROUP BY doc_id)"""
-register("feature_merge", lambda s, d: X.merged(docs(s, d)), f"WITH {G1}, {FEATS} SELECT doc_id, comma, exclamation, entropy, ttr, longest FROM f JOIN h USING (doc_id)")
 
 
-def book_chunks(s, d):
-    """Features of the chunks of ten sentences, and of the whole documents."""
-    sents = segment.sentence_rows(docs(s, d)).withColumn("chunk_idx", F.floor(F.col("sent_idx") / 10))
-    c = sents.withColumn("n", F.size(F.split("sentence", WS))).groupBy("doc_id", "chunk_idx").agg(F.avg("n").alias("len_chunk"), F.count("*").alias("sents_chunk"))
-    return c
-
-
-def rounded_chunks(s, d):
-    return book_chunks(s, d).withColumn("len_chunk", F.round("len_chunk", 6))
-
-
-
-CH_SQL = f"c AS (SELECT doc_id, sent_idx // 10 AS chunk_idx, round(avg(len(string_split_regex(sentence, '{WS}'))), 6) AS len_chunk, count(*) AS sents_chunk FROM ({SENTS}) GROUP BY doc_id, sent_idx // 10)"
-register("features_book", lambda s, d: X.merged(docs(s, d)).toDF("doc_id", "comma_full", "exclamation_full", "entropy_full", "ttr_full", "longest_full"), f"WITH {G1}, {FEATS} SELECT doc_id, comma AS comma_full, exclamation AS exclamation_full, entropy AS entropy_full, ttr AS ttr_full, longest AS longest_full FROM f JOIN h USING (doc_id)")
-register("features_chunk", rounded_chunks, f"WITH {CH_SQL} SELECT * FROM c")
-register("features_baac", lambda s, d: X.merged(docs(s, d)).join(book_chunks(s, d).groupBy("doc_id").agg(F.round(F.avg("len_chunk"), 6).alias("len_chunk"), F.round(F.avg("sents_chunk"), 6).alias("sents_chunk")), "doc_id").select("doc_id", "entropy", "ttr", "len_chunk", "sents_chunk"), f"WITH {G1}, {FEATS}, {CH_SQL.replace('round(avg(len(string_split_regex(sentence, ' + chr(39) + WS + chr(39) + '))), 6)', 'avg(len(string_split_regex(sentence, ' + chr(39) + WS + chr(39) + ')))')} SELECT doc_id, entropy, ttr, round(avg(len_chunk), 6) AS len_chunk, round(avg(sents_chunk), 6) AS sents_chunk FROM h JOIN c USING (doc_id) GROUP BY doc_id, entropy, ttr")
-register("features_cacb", lambda s, d: rounded_chunks(s, d).join(X.merged(docs(s, d)).select("doc_id", "entropy", "ttr"), "doc_id", "full"), f"WITH {G1}, {FEATS}, {CH_SQL} SELECT doc_id, chunk_idx, len_chunk, sents_chunk, entropy, ttr FROM c FULL JOIN h USING (doc_id)")
+def feats_sql(rel: str, keys: str) -> str:
+    """CTEs of the features of rel (keys, text, sentences), the last of them f."""
+    k = keys.split(", ")
+    using = f"USING ({keys})"
+    word = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+    runs = " UNION ALL ".join(f"SELECT {keys}, {n} AS n, unnest({'w' if n == 1 else f'list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], chr(45)))'}) AS gram FROM fw" for n in (1, 2, 3))
+    ent = lambda n: f"round(ln(sum(c) FILTER (WHERE n = {n})) - sum(c * ln(c)) FILTER (WHERE n = {n}) / sum(c) FILTER (WHERE n = {n}), 6)"
+    lens = f"list_transform(sentences, lambda x: len(string_split_regex(x, '{WS}')))"
+    return rf"""fw AS (SELECT {keys}, text, sentences, {word} AS w FROM {rel} WHERE len({word}) > 0),
+fc AS (SELECT {keys}, n, gram, count(*) AS c FROM ({runs}) GROUP BY {keys}, n, gram),
+fg AS (SELECT {keys}, max(length(gram)) FILTER (WHERE n = 1) AS longest_word_length, round(sum(length(gram) * c) FILTER (WHERE n = 1) / sum(c) FILTER (WHERE n = 1), 6) AS average_word_length, {ent(1)} AS unigram_entropy, {ent(2)} AS bigram_entropy, {ent(3)} AS trigram_entropy, round(count(*) FILTER (WHERE n = 1) / sum(c) FILTER (WHERE n = 1), 6) AS type_token_ratio FROM fc GROUP BY {keys}),
+fp AS (SELECT {keys}, {ratio_sql(cnt_sql(T.MARKS), f'length({LOW})')} AS ratio_of_punctuation_marks, """ + ", ".join(f"{ratio_sql(cnt_sql(c), f'length({LOW})')} AS {name}" for c, name in ((" ", "ratio_of_whitespaces"), ("!", "ratio_of_exclamation_marks"), ("?", "ratio_of_question_marks"), (",", "ratio_of_commas"))) + rf""",
+ round(len(regexp_extract_all(text, '\p{{Lu}}')) / nullif(len(regexp_extract_all(text, '\p{{L}}')), 0), 6) AS ratio_of_uppercase_letters, round(list_sum({lens}) / len(sentences), 6) AS average_number_of_words_in_sentence, list_max({lens}) AS maximum_number_of_words_in_sentence,
+ length(text) AS nr_chars, len(regexp_extract_all(text, '[^ \t\n\r\f]+')) AS nr_words, len(sentences) AS nr_sentences,
+ round(206.835 - 1.015 * (len(w)::DOUBLE / nullif(len(sentences), 0)::DOUBLE) - 84.6 * (list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(x, '[aeiouyäöüàâéèêëîïôûùáíóú]+')), 1)))::DOUBLE / len(w)::DOUBLE), 6) AS flesch_reading_ease_score FROM fw),
+f AS (SELECT {keys}, {", ".join(X.FEATURES)} FROM fp JOIN fg {using})"""
+
+
+BOOK = r"bk AS (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: length(x) > 0) AS sentences FROM documents)"
+#: The balanced packing: pk packs once for all documents; tr tries (inc, more) in order until the rest settles.
+PACK = "list_reduce(ls, lambda a, x: CASE WHEN a.cur >= 100 + (CASE WHEN a.k < {more} THEN {inc} ELSE 0 END) THEN {{'k': a.k + 1, 'cur': x, 'ids': list_append(a.ids, a.k + 1)}} ELSE {{'k': a.k, 'cur': a.cur + x, 'ids': list_append(a.ids, a.k)}} END, {{'k': 0, 'cur': 0::BIGINT, 'ids': []::INT[]}})"
+SETTLED = "(p.cur > 90 OR p.k = 0 OR p.cur <= 10)"
+BALANCED = f"""RECURSIVE {BOOK},
+ln AS (SELECT doc_id, sentences, list_transform(sentences, lambda x: len(string_split_regex(x, '{WS}'))) AS ls FROM bk WHERE len(sentences) > 0),
+p0 AS (SELECT doc_id, ls, {PACK.format(more=0, inc=0)} AS p FROM ln),
+tr AS (SELECT doc_id, ls, p, 1 AS inc, 0 AS more, {SETTLED} AS done FROM p0
+ UNION ALL SELECT doc_id, ls, p, inc, more, {SETTLED} AS done FROM (
+  SELECT doc_id, ls, inc, more, CASE WHEN go THEN {PACK.format(more="more", inc="inc")} ELSE p END AS p FROM (
+   SELECT doc_id, ls, p, CASE WHEN p.k > more + 1 THEN inc ELSE inc + 1 END AS inc, CASE WHEN p.k > more + 1 THEN more + 1 ELSE 0 END AS more, p.k > more + 1 AS go FROM tr WHERE NOT done) WHERE inc <= 50)),
+bl AS (SELECT ln.doc_id, ln.sentences, ln.ls, coalesce((SELECT any_value(t.p) FROM tr t WHERE t.doc_id = ln.doc_id AND t.done), p0.p) AS p, EXISTS (SELECT 1 FROM tr t WHERE t.doc_id = ln.doc_id AND t.done) AS ok FROM ln JOIN p0 USING (doc_id)),
+bi AS (SELECT doc_id, sentences, ls, CASE WHEN p.k > 0 AND (CASE WHEN ok THEN p.cur <= 10 ELSE p.cur < 50 END) THEN list_transform(p.ids, lambda x: least(x, p.k - 1)) ELSE p.ids END AS ids FROM bl),
+bs AS (SELECT doc_id, unnest(ids) AS chunk_idx, unnest(sentences) AS sentence, unnest(ls) AS n, unnest(range(1, len(ids) + 1)) AS i FROM bi),
+bc AS (SELECT doc_id, chunk_idx, count(*) AS n_sents, sum(n)::BIGINT AS n_tokens, string_agg(sentence, ' ' ORDER BY i) AS text, list(sentence ORDER BY i) AS sentences FROM bs GROUP BY doc_id, chunk_idx)"""
+chunks = lambda s, d: segment.chunk_rows(docs(s, d))
+texts_of = lambda s, d: segment.chunk_text(chunks(s, d))
+register("chunk_balanced", lambda s, d: chunks(s, d).drop("sentences"), f"WITH {BALANCED} SELECT doc_id, chunk_idx, n_sents, n_tokens FROM bc")
+register("chunk_text", texts_of, f"WITH {BALANCED} SELECT doc_id, chunk_idx, text FROM bc")
+register("chunk_view_sentences", lambda s, d: chunks(s, d).select("doc_id", "chunk_idx", F.posexplode("sentences").alias("place", "sentence")).select("doc_id", "chunk_idx", F.col("place").cast("long").alias("place"), F.lower("sentence").alias("sentence")), f"WITH {BALANCED} SELECT doc_id, chunk_idx, i - min(i) OVER (PARTITION BY doc_id, chunk_idx) AS place, lower(sentence) AS sentence FROM bs")
+CHUNK_GRAMS = f"{BALANCED}, cw AS (SELECT doc_id, chunk_idx, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM bc), cg AS (SELECT doc_id, chunk_idx, n, ngram, count(*) AS cnt FROM (" + " UNION ALL ".join(f"SELECT doc_id, chunk_idx, {n} AS n, unnest({'w' if n == 1 else f'list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], chr(45)))'}) AS ngram FROM cw" for n in (1, 2, 3)) + ") GROUP BY ALL)"
+piece = lambda s, d: N.piece_counts(texts_of(s, d), ["doc_id", "chunk_idx"])
+register("chunk_ngrams", piece, f"WITH {CHUNK_GRAMS} SELECT doc_id, chunk_idx, n, ngram, cnt FROM cg")
+for k, nm in ((1, "unigram"), (2, "bigram"), (3, "trigram")):
+    register(f"chunk_{nm}_counts", lambda s, d, k=k: N.df_filter(piece(s, d).where(F.col("n") == k).select(F.concat_ws("_", "doc_id", "chunk_idx").alias("chunk"), "ngram", "cnt"), 2), f"WITH {CHUNK_GRAMS}, x AS (SELECT doc_id || '_' || chunk_idx AS chunk, ngram, cnt FROM cg WHERE n = {k}) SELECT chunk, ngram, cnt FROM x WHERE ngram IN (SELECT ngram FROM x GROUP BY ngram HAVING count(*) >= 2)")
+register("ngram_tables", lambda s, d: N.piece_counts(docs(s, d), ["doc_id"]).groupBy("n").agg(F.count("*").alias("cells"), F.count_distinct("ngram").alias("ngrams"), F.count_distinct("doc_id").alias("texts")), "WITH " + ", ".join(grams_sql(n).replace("g0 AS", f"a{n} AS").replace("g AS (SELECT * FROM g0", f"b{n} AS (SELECT * FROM a{n}") for n in (1, 2, 3)) + " " + " UNION ALL ".join(f"SELECT {n} AS n, count(*) AS cells, count(DISTINCT ngram) AS ngrams, count(DISTINCT doc_id) AS texts FROM b{n}" for n in (1, 2, 3)))
+BOOKS = f"{BOOK}, {feats_sql('bk', 'doc_id')}"
+register("feature_merge", lambda s, d: X.merged(docs(s, d)), f"WITH {BOOKS}, {grams_sql(1, 2)}, {DIST[: DIST.rindex(') SELECT')]}), q AS ({DIST[DIST.rindex(') SELECT') + 2 :]}) SELECT f.*, q.distance AS unigram_distance FROM f LEFT JOIN q USING (doc_id)")
+level = lambda name: lambda s, d: X.levels(docs(s, d))[name]
+with_suffix = lambda sfx, x="f": ", ".join(f"{x}.{c} AS {c}_{sfx}" for c in X.FEATURES)
+register("features_book", level("book"), f"WITH {BOOKS} SELECT doc_id, {with_suffix('full')} FROM f")
+CHUNKS_F = f"{BALANCED}, {feats_sql('bc', 'doc_id, chunk_idx')}, ch AS (SELECT * FROM f)"
+BOTH_F = f"{CHUNKS_F}, {feats_sql('bk', 'doc_id').replace('fw AS', 'hw AS').replace('FROM fw', 'FROM hw').replace('fc AS', 'hc AS').replace('FROM fc', 'FROM hc').replace('fg AS', 'hg AS').replace('JOIN fg', 'JOIN hg').replace('fp AS', 'hp AS').replace('FROM fp', 'FROM hp').replace('f AS (SELECT', 'h AS (SELECT')}"
+register("features_chunk", level("chunk"), f"WITH {CHUNKS_F} SELECT doc_id, chunk_idx, {with_suffix('chunk', 'ch')} FROM ch")
+register("features_baac", level("baac"), f"WITH {BOTH_F}, m AS (SELECT doc_id, {', '.join(f'floor(sum(round({c} * 1e6)) / count({c}) + 0.5) / 1e6 AS {c}_chunk' for c in X.FEATURES)} FROM ch GROUP BY doc_id) SELECT h.doc_id, {with_suffix('full', 'h')}, {', '.join(f'm.{c}_chunk' for c in X.FEATURES)} FROM h JOIN m USING (doc_id)")
+register("features_cacb", level("cacb"), f"WITH {BOTH_F} SELECT ch.doc_id, ch.chunk_idx, {with_suffix('chunk', 'ch')}, {with_suffix('full', 'h')} FROM ch JOIN h USING (doc_id)")
+
+
+def level_rows(s, d):
+    """Rows of the four tables: as many books in baac as in book, as many chunks in cacb as in chunk."""
+    out = None
+    for name, t in X.levels(docs(s, d)).items():
+        row = t.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("books")).select(F.lit(name).alias("level"), "n", "books")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+register("feature_row_counts", level_rows, f"WITH {BOTH_F} " + " UNION ALL ".join(f"SELECT '{name}' AS level, count(*) AS n, count(DISTINCT doc_id) AS books FROM {rel}" for name, rel in (("book", "h"), ("chunk", "ch"), ("baac", "(SELECT doc_id FROM h WHERE doc_id IN (SELECT doc_id FROM ch))"), ("cacb", "ch"))))
 FCOLS = ["average_sentence_length_full", "average_word_length_full", "type_token_ratio_full", "unigram_entropy_full", "bigram_entropy_full", "trigram_entropy_full", "ratio_of_punctuation_full", "average_paragraph_length_full", "dialogue_share_full", "function_word_share_full", "comma_rate_full", "longest_word_full", "verb_share_full", "name_share_full", "intra_variance_full", "overlap_score_full"]
 feat = lambda s, d: table(s, d, "features")
 register("feature_null_profile", lambda s, d: X.null_profile(feat(s, d), FCOLS), " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS n_null, count(*) FILTER (WHERE {c} = 0) AS n_zero, count(*) FILTER (WHERE {c} < 0) AS n_negative, count(DISTINCT {c}) AS n_distinct FROM features" for c in FCOLS))

@@ -91,7 +91,6 @@ CHUNKS = rf"""WITH RECURSIVE s AS (SELECT doc_id, sent_idx, len(regexp_extract_a
 c AS (SELECT doc_id, sent_idx, n, n AS cur, 0 AS k FROM s WHERE sent_idx = 0
  UNION ALL SELECT s.doc_id, s.sent_idx, s.n, CASE WHEN c.cur >= 100 THEN s.n ELSE c.cur + s.n END, CASE WHEN c.cur >= 100 THEN c.k + 1 ELSE c.k END FROM c JOIN s ON s.doc_id = c.doc_id AND s.sent_idx = c.sent_idx + 1)"""
 register("chunk_greedy", lambda s, d: segment.greedy_chunks(docs(s, d)), f"{CHUNKS} SELECT doc_id, k AS chunk_idx, count(*) AS n_sents, sum(n) AS n_tokens FROM c GROUP BY doc_id, k")
-register("chunk_balanced", lambda s, d: segment.balanced_chunks(docs(s, d)))
 register("chunk_stats", lambda s, d: segment.greedy_chunks(docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.min("n_tokens").alias("shortest"), F.max("n_tokens").alias("longest"), F.round(F.avg("n_tokens"), 6).alias("mean"), F.round(F.stddev_pop("n_tokens"), 6).alias("std")), f"{CHUNKS} SELECT doc_id, count(*) AS n_chunks, min(t) AS shortest, max(t) AS longest, round(avg(t), 6) AS mean, round(stddev_pop(t), 6) AS std FROM (SELECT doc_id, k, sum(n) AS t FROM c GROUP BY doc_id, k) GROUP BY doc_id")
 register("chunk_count_freq", lambda s, d: segment.greedy_chunks(docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n_chunks")).groupBy("n_chunks").agg(F.count("*").alias("n_docs")), f"{CHUNKS} SELECT n_chunks, count(*) AS n_docs FROM (SELECT doc_id, max(k) + 1 AS n_chunks FROM c GROUP BY doc_id) GROUP BY n_chunks")
 register("sentence_length_range", lambda s, d: segment.sentence_rows(docs(s, d)).withColumn("n", F.size(F.split("sentence", WS))).groupBy("doc_id").agg(F.min("n").cast("long").alias("shortest"), F.max("n").cast("long").alias("longest")), f"SELECT doc_id, min(n) AS shortest, max(n) AS longest FROM (SELECT doc_id, len(string_split_regex(sentence, '{WS}')) AS n FROM ({SENTS})) GROUP BY doc_id")

@@ -72,6 +72,11 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df itself if written() has made it, else df written: for a table that a plan reads more than once."""
+    return df if id(df) in _tables else written(df)
+
+
 def done_with(*tables: DataFrame | None) -> None:
     """Removes tables that written() has made and that no DataFrame still to be run reads."""
     for t in tables:

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import special
-from quillspark.operators import distance, embed, evaluate, experiments, graph, kernels, metadata, neardup, ngrams, segment, validation
+from quillspark.operators import distance, embed, evaluate, experiments, features, graph, kernels, metadata, neardup, ngrams, segment, validation
 from quillspark.operators.components import components
 from quillspark.operators.numbering import numbered
 from quillspark.sources import files
@@ -87,6 +87,32 @@ def test_distances(spark):
     assert distance.nearest(v.unionAll(v), v.where("doc_id = 1"), "manhattan").count() == 10
 
 
+def test_distances_in_blocks(spark, monkeypatch):
+    """Blocks of queries and rows as tables give what one broadcast block gives."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((60, 6)), 1)
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "doc_id long, vec array<double>")
+    for m in ("burrows", "cosinesim", "linear"):
+        one = sorted(map(tuple, distance.nearest(v, v.where("doc_id % 2 = 0"), m, 4).collect()))
+        monkeypatch.setattr(distance, "BLOCK", 7)
+        monkeypatch.setattr(distance, "BLOCK_CELLS", 100)
+        assert sorted(map(tuple, distance.nearest(v, v.where("doc_id % 2 = 0"), m, 4).collect())) == one
+        assert distance.block_pairs(v, v.where("doc_id < 9"), m).count() == 9 * 59
+        monkeypatch.undo()
+
+
+def test_overlap_of_a_large_book(spark):
+    rng = np.random.default_rng(6)
+    x = [(i, "big" if i < 40 else f"b{i % 4}", [float(v) for v in rng.random(3)]) for i in range(80)]
+    d = spark.createDataFrame(x, "vec_id long, label string, embedding array<float>")
+    got = {r["label"]: r["overlap"] for r in features.overlap(d).collect()}
+    m = np.array([np.array(v, dtype=np.float32).astype(float) for _, _, v in x])
+    for b in {l for _, l, _ in x}:
+        own = [i for i, l, _ in x if l == b]
+        near = sorted((round(float(np.linalg.norm(m[i] - m[own].mean(axis=0))), 9), i) for i in range(80))[: len(own)]
+        assert got[b] == pytest.approx(np.mean([x[i][1] != b for _, i in near]), abs=1e-6)
+
+
 def test_label_free_graph(spark):
     none = spark.createDataFrame([], "src string, dst string, w double")
     assert graph.threshold(none, 0.9).count() == 0
@@ -170,6 +196,57 @@ def test_near_duplicates(spark):
     assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
 
 
+def test_near_duplicates_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        base = [f"v{i}" for i in rng.integers(0, 60, int(rng.integers(8, 40)))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                at = int(rng.integers(len(w)))
+                w = w[:at] + [f"y{rng.integers(5)}"] * int(rng.integers(0, 2)) + w[at + 1 :]
+            texts.append(" ".join(w))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    links = {i: {sets[j] for j in range(len(sets)) if sets[i] != sets[j] and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in range(len(sets))}
+    for hot in (1000, 1):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.classes(docs(spark, texts)).collect()}
+        assert {i: n for i, (_, n) in got.items()} == {i: len(x) for i, x in links.items()}
+        assert all(got[i][0] == got[j][0] for i in links for j in range(len(sets)) if sets[j] in links[i])
+
+
+def test_chunks_hold_all_sentences(spark):
+    texts = ["One two. Three four five six. Seven. " * 9, "a. " * 40, "alone", None, "", "...", "x y z. " * 3]
+    for method in ("greedy", "balanced"):
+        rows = segment.chunk_rows(docs(spark, texts), size=10, method=method).orderBy("doc_id", "chunk_idx").collect()
+        for i, t in enumerate(texts):
+            mine = [r for r in rows if r["doc_id"] == i]
+            whole = [s for r in mine for s in r["sentences"]]
+            assert [r["chunk_idx"] for r in mine] == list(range(len(mine)))
+            assert " ".join(whole).split() == [w for w in (t or "").split() if w.strip(".")]
+            assert all(r["n_tokens"] == sum(len(s.split()) for s in r["sentences"]) and r["n_sents"] == len(r["sentences"]) for r in mine)
+
+
+def test_balanced_packing():
+    # a rest over nine tenths stays, one of a tenth joins, others are spread, and what can't be spread is kept from half on
+    assert segment.balanced([10] * 3 + [10], 10) == [0, 1, 2, 3]
+    assert segment.balanced([10, 10, 1], 10) == [0, 1, 1]
+    assert segment.balanced([1] * 25, 10) == [0] * 13 + [1] * 12 or max(segment.balanced([1] * 25, 10)) == 1
+    assert segment.balanced([5], 10) == [0] and segment.balanced([], 10) == []
+    assert segment.balanced([100, 60], 100) == [0, 1] and segment.balanced([100, 40], 100) == [0, 0]
+
+
+def test_feature_levels(spark):
+    texts = ["One two. Three four five six! Seven? " * 9, "a, b. " * 40, "alone", None, "", "..."]
+    t = {k: v.toPandas() for k, v in features.levels(docs(spark, texts), size=10).items()}
+    assert set(t["book"]["doc_id"]) == {0, 1, 2} == set(t["baac"]["doc_id"]) and len(t["cacb"]) == len(t["chunk"])
+    assert len(t["book"].columns) == 1 + len(features.FEATURES) and len(t["baac"].columns) == 1 + 2 * len(features.FEATURES)
+    one = t["book"].set_index("doc_id").loc[0]
+    assert one["nr_sentences_full"] == 27 and one["type_token_ratio_full"] == pytest.approx(7 / 63, abs=1e-6)
+    assert t["book"].set_index("doc_id").loc[2, "bigram_entropy_full"] != t["book"].set_index("doc_id").loc[2, "bigram_entropy_full"]
+
+
 def test_checked_join(spark):
     a, b = spark.createDataFrame([(1, "a"), (1, "b")], "k int, x string"), spark.createDataFrame([(1, "c")], "k int, y string")
     assert metadata.checked_join(a, b, ["k"], validate="many_to_one").count() == 2
