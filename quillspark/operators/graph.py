@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators.components import components
 from quillspark.operators.distance import matrix
-from quillspark.operators.ngrams import vectors
+from quillspark.operators.ngrams import most_frequent
 from quillspark.session import written
 
 
 def network(docs: DataFrame, n: int = 100) -> DataFrame:
-    """Cosine similarities of the texts merged by source and language, over the n most frequent words of the merged texts.
+    """Cosine similarities of the texts merged by source and language, over the n most frequent words of the merged texts
+    by the sum of their relative frequencies.
 
     Documents without a source are left out; a null language is '-'. Merged texts without any of the
     words have no edges.
@@ -25,9 +26,8 @@ def network(docs: DataFrame, n: int = 100) -> DataFrame:
     node = F.concat_ws("/", "source", F.coalesce("lang", F.lit("-")))
     rows = docs.where("source IS NOT NULL").select(node.alias("node"), F.explode(T.words(F.col("text"))).alias("ngram"))
     cnt = written(rows.groupBy("node", "ngram").agg(F.count("*").alias("cnt")))
-    top = cnt.groupBy("ngram").agg(F.sum("cnt").alias("s")).orderBy(F.desc("s"), "ngram").limit(n)
+    ranked = most_frequent(cnt, n, "node").select("ngram", "rank")
     size = cnt.groupBy("node").agg(F.sum("cnt").alias("_n"))
-    ranked = top.select("ngram", F.row_number().over(Window.orderBy(F.desc("s"), "ngram")).alias("rank"))
     # the list of words has n rows
     hit = cnt.join(F.broadcast(ranked), "ngram").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("rank", "cnt"))).alias("_m"))
     vec = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("_m", i) / F.col("_n"), F.lit(0.0)))
@@ -202,3 +202,96 @@ def silhouette(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     ab = mean.groupBy("src").agg(F.min(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("a"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
     return ab.agg(F.round(F.avg(F.coalesce(s, F.lit(0.0))), 6).alias("silhouette"))
+
+
+def replace_nan(edges: DataFrame, value: float = 0.0) -> DataFrame:
+    """edges with value for weights that are null or no number."""
+    return edges.withColumn("w", F.coalesce(F.nanvl("w", F.lit(value)), F.lit(value)))
+
+
+def bad_weights(edges: DataFrame) -> DataFrame:
+    """(n_edges, n_null, n_nan, n_loops): what a network shouldn't have."""
+    return edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("w").isNull()).alias("n_null"), F.count_if(F.isnan("w")).alias("n_nan"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"))
+
+
+def matrix_checks(cells: DataFrame) -> DataFrame:
+    """(n_nodes, n_cells, n_missing, n_repeated, n_asymmetric, n_off_diagonal) of a matrix (src, dst, w) that may hold its diagonal.
+
+    Missing are cells off the diagonal that no row gives; off the diagonal are diagonal cells other than 1.
+    """
+    nodes = nodes_of(cells).agg(F.count("*").alias("n_nodes"))
+    one = cells.groupBy("src", "dst").agg(F.count("*").alias("_k"), F.min("w").alias("w"))
+    back = one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("_b"))
+    both = one.join(back, ["src", "dst"], "left")
+    off = F.col("src") != F.col("dst")
+    n = both.agg(
+        F.sum("_k").alias("n_cells"), F.count_if(off).alias("_off"), F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).alias("n_repeated"),
+        F.count_if(off & ~F.col("w").eqNullSafe(F.col("_b"))).alias("n_asymmetric"), F.count_if(~off & (F.col("w") != 1)).alias("n_off_diagonal"),
+    )
+    # two tables of one row
+    return nodes.crossJoin(F.broadcast(n)).select("n_nodes", "n_cells", (F.col("n_nodes") * (F.col("n_nodes") - 1) - F.col("_off")).alias("n_missing"), "n_repeated", "n_asymmetric", "n_off_diagonal")
+
+
+def condensed(edges: DataFrame) -> DataFrame:
+    """(place, w): the triangle above the diagonal, row by row in the order of the nodes."""
+    from quillspark.operators.numbering import numbered
+
+    return numbered(edges.where("src < dst").select("src", "dst", "w"), "place", "src", "dst").select("place", "w")
+
+
+def complete_graph(spark, n: int) -> DataFrame:
+    """(src, dst, w) of n nodes, numbered from 0, all joined both ways with weight 1."""
+    a = spark.range(n).select(F.col("id").alias("src"))
+    return a.withColumn("dst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).where("src <> dst").withColumn("w", F.lit(1.0))
+
+
+def random_matrix(spark, n: int, seed: int = 1, levels: int = 97) -> DataFrame:
+    """(src, dst, w) of a symmetric matrix of n nodes whose weights are multiples of 1 / levels, from the seed alone."""
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    mixed = (a * 7919 + b * 104729 + a * b * 31 + seed * 15485863) % levels
+    return complete_graph(spark, n).withColumn("w", mixed / levels)
+
+
+def path_counts(edges: DataFrame) -> DataFrame:
+    """(start, node, hops, paths): the number of shortest paths between every two nodes that reach each other, itself included.
+
+    The hops come from bfs(); the counts follow level by level, each a table. All pairs are the operator's
+    result, so it is for networks of merged texts.
+    """
+    hops = written(bfs(edges, nodes_of(edges)))
+    step = written(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+    most = hops.agg(F.max("hops")).first()[0] or 0
+    level = written(hops.where("hops = 0").withColumn("paths", F.lit(1).cast("double")))
+    out = level
+    for k in range(1, most + 1):
+        on = level.join(step, "node").groupBy("start", F.col("next").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = written(on.join(hops.where(F.col("hops") == k), ["start", "node"]).select("start", "node", "hops", "paths"))
+        out = out.unionByName(level)
+    return out
+
+
+def centralities(edges: DataFrame) -> DataFrame:
+    """(node, degree, closeness, betweenness) of an undirected network given both ways.
+
+    Closeness is (r - 1) / sum of hops, times the share of the nodes that are reached; betweenness counts each
+    pair of ends once. The sums over triples run on the pairs by key.
+    """
+    p = written(path_counts(edges))
+    n = p.where("hops = 0").count()
+    near = p.where("hops > 0").groupBy(F.col("start").alias("node")).agg((F.count("*") / F.sum("hops") * F.count("*") / max(1, n - 1)).alias("closeness"))
+    a = p.where("hops > 0").select(F.col("node").alias("v"), F.col("start").alias("s"), F.col("hops").alias("h1"), F.col("paths").alias("p1"))
+    b = p.where("hops > 0").select(F.col("start").alias("v"), F.col("node").alias("t"), F.col("hops").alias("h2"), F.col("paths").alias("p2"))
+    st = p.where("start < node").select(F.col("start").alias("s"), F.col("node").alias("t"), F.col("hops").alias("h"), F.col("paths").alias("p"))
+    between = a.join(b, "v").where("s < t").join(st, ["s", "t"]).where("h1 + h2 = h").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("p1") * F.col("p2") / F.col("p")).alias("betweenness"))
+    d = degrees(edges).select("node", "degree")
+    return d.join(near, "node", "left").join(between, "node", "left").select("node", "degree", F.round(F.coalesce("closeness", F.lit(0.0)), 6).alias("closeness"), F.round(F.coalesce("betweenness", F.lit(0.0)), 4).alias("betweenness"))
+
+
+def in_polygon(x, y, corners: list[tuple[float, float]]):
+    """Is the point inside the polygon: its ray to the right crosses an odd number of sides."""
+    hits = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]):
+        if y1 != y2:
+            crosses = (F.lit(min(y1, y2)) <= y) & (y < F.lit(max(y1, y2))) & (x < F.lit(x1) + (y - y1) * ((x2 - x1) / (y2 - y1)))
+            hits = hits + F.when(crosses, 1).otherwise(0)
+    return hits % 2 == 1

@@ -5,6 +5,8 @@ Every kernel takes a symmetric numpy matrix and gives one label a row; ties fall
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,13 +66,41 @@ def hierarchical(dist: np.ndarray, n_clusters: int, method: str = "average") ->
 
 
 def leaf_order(dist: np.ndarray) -> list[int]:
-    """An order of the leaves of average linkage in which each merge turns its nearest ends together."""
-    members = {i: [i] for i in range(len(dist))}
-    for i, j, _ in linkage(dist, "average"):
-        a, b = members.pop(i), members.pop(j)
-        options = [(dist[x[-1], y[0]], k, x + y) for k, (x, y) in enumerate(((a, b), (a[::-1], b), (a, b[::-1]), (a[::-1], b[::-1])))]
-        members[i] = min(options)[2]
-    return next(iter(members.values())) if members else []
+    """The order of the leaves of average linkage, over all turns of its merges, whose neighbours are nearest in sum.
+
+    best[v][i, j] is the least cost of the leaves of v in an order from leaf i to leaf j; a merge combines the
+    tables of its two sides by the least sum over the leaves that meet.
+    """
+    n = len(dist)
+    if n == 0:
+        return []
+    kids: dict[int, tuple[int, int]] = {}
+    leaves, best, live = {i: [i] for i in range(n)}, {i: np.zeros((1, 1)) for i in range(n)}, {i: i for i in range(n)}
+    top = 0
+    for k, (i, j, _) in enumerate(linkage(dist, "average")):
+        top, a, b = n + k, live.pop(i), live.pop(j)
+        kids[top], live[i] = (a, b), top
+        leaves[top] = leaves[a] + leaves[b]
+        mid = dist[np.ix_(leaves[a], leaves[b])]
+        step = np.array([(row[:, None] + mid).min(axis=0) for row in best[a]])
+        cross = np.array([(row[:, None] + best[b]).min(axis=0) for row in step])
+        m = np.full((len(leaves[top]),) * 2, np.inf)
+        m[: len(leaves[a]), len(leaves[a]) :], m[len(leaves[a]) :, : len(leaves[a])] = cross, cross.T
+        best[top] = m
+
+    def walk(v: int, first: int, last: int) -> list[int]:
+        if v < n:
+            return [v]
+        a, b = kids[v]
+        if first not in leaves[a]:
+            a, b = b, a
+        i, j = leaves[a].index(first), leaves[b].index(last)
+        cost = best[a][i][:, None] + dist[np.ix_(leaves[a], leaves[b])] + best[b][:, j][None, :]
+        x, y = np.unravel_index(int(cost.argmin()), cost.shape)
+        return walk(a, first, leaves[a][x]) + walk(b, leaves[b][y], last)
+
+    i, j = np.unravel_index(int(best[top].argmin()), best[top].shape)
+    return walk(top, leaves[top][i], leaves[top][j])
 
 
 def medoids(dist: np.ndarray, k: int, rounds: int = 100) -> tuple[np.ndarray, list[int], float]:
@@ -198,6 +228,13 @@ def _labels(alg: str, param: str, sim: np.ndarray) -> np.ndarray:
         return spectral(sim, int(param))
     if alg == "medoids":
         return medoids(dist, int(param))[0]
+    if alg == "dbscan":
+        eps, least = param.split("-")
+        return dbscan_labels(1 - sim, float(eps), int(least))
+    if alg == "lpa":
+        adj = np.where(sim >= float(param), sim, 0.0)
+        np.fill_diagonal(adj, 0)
+        return propagated_labels(adj)
     if alg == "louvain":
         adj = sim.copy()
         np.fill_diagonal(adj, 0)
@@ -217,24 +254,111 @@ def dense(edges: pd.DataFrame, directed: bool = False) -> tuple[list, np.ndarray
     return names, m
 
 
-def cluster_grid(matrices: DataFrame, grid: list[tuple[str, str]]) -> DataFrame:
-    """(mxname, alg, param, node, cluster): every algorithm of the grid on every matrix (mxname, src, dst, w), a task each.
+class _TooLong(Exception):
+    pass
+
+
+def _within(seconds: float | None, f: Callable):
+    """f(), or null if it takes longer; the limit needs the main thread of a Unix process, which a Python worker is."""
+    if not seconds:
+        return f()
+    import signal
+
+    def stop(*_):
+        raise _TooLong
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return f()
+    except _TooLong:
+        return None
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
 
-    The grid is a small list of parameters, so its table is broadcast; each pair of matrix and
-    parameters is one group of one matrix.
+GRID_SCHEMA = "mxname string, alg string, param string, node string, cluster int, outcome string"
+
+
+def cluster_grid(matrices: DataFrame, grid: list[tuple[str, str]], seconds: float | None = None, done: DataFrame | None = None, parts: int = 8) -> DataFrame:
+    """(mxname, alg, param, node, cluster, outcome): every algorithm of the grid on every matrix (mxname, src, dst, w).
+
+    A matrix is one group and its grid runs in parts, so it is sent parts times whatever the size of the grid. A
+    run over the limit of seconds gives one row with outcome timeout, others success; noise has a null cluster.
+    Runs in done (mxname, alg, param) are not made again.
     """
-    g = matrices.sparkSession.createDataFrame(grid, "alg string, param string")
+    spark = matrices.sparkSession
+    left = None
+    if done is not None:
+        left = {tuple(r) for r in done.select("mxname", "alg", "param").distinct().collect()}  # a row a run of the grid
+    names_ = [r["mxname"] for r in matrices.select("mxname").distinct().collect()]
+    todo = [(m, k % parts, a, p) for m in names_ for k, (a, p) in enumerate(grid) if left is None or (m, a, p) not in left]
+    if not todo:
+        return spark.createDataFrame([], GRID_SCHEMA)
+    plan: dict[tuple[str, int], list[tuple[str, str]]] = {}
+    for m, k, a, p in todo:
+        plan.setdefault((m, k), []).append((a, p))
+    work = spark.createDataFrame(sorted(plan), "mxname string, part int")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         names, sim = dense(pdf)
-        lab = _labels(key[1], key[2], sim)
-        size = pd.Series(lab).value_counts()
-        first = {c: i for i, c in reversed(list(enumerate(lab)))}
-        order = {c: i for i, c in enumerate(sorted(size.index, key=lambda c: (-size[c], first[c])))}
-        return pd.DataFrame({"mxname": key[0], "alg": key[1], "param": key[2], "node": names, "cluster": [order[c] for c in lab]})
-
-    work = matrices.select("mxname", "src", "dst", "w").crossJoin(F.broadcast(g))
-    return work.groupBy("mxname", "alg", "param").applyInPandas(run, "mxname string, alg string, param string, node string, cluster int")
+        out = []
+        for alg, param in plan[(key[0], int(key[1]))]:
+            lab = _within(seconds, lambda: _labels(alg, param, sim))
+            if lab is None:
+                out.append(pd.DataFrame({"mxname": [key[0]], "alg": alg, "param": param, "node": None, "cluster": None, "outcome": "timeout"}))
+                continue
+            lab = list(lab)
+            size = pd.Series([c for c in lab if c is not None and c >= 0]).value_counts()
+            first = {c: i for i, c in reversed(list(enumerate(lab)))}
+            order = {c: i for i, c in enumerate(sorted(size.index, key=lambda c: (-size[c], first[c])))}
+            out.append(pd.DataFrame({"mxname": key[0], "alg": alg, "param": param, "node": names, "cluster": pd.array([order.get(c) for c in lab], dtype="Int32"), "outcome": "success"}))
+        return pd.concat(out).astype({"cluster": "Int32"})
+
+    # the list of runs is a parameter, not data
+    spread = matrices.select("mxname", "src", "dst", "w").join(F.broadcast(work), "mxname")
+    return spread.groupBy("mxname", "part").applyInPandas(run, GRID_SCHEMA)
+
+
+def dbscan_labels(dist: np.ndarray, eps: float, least: int) -> list[int]:
+    """Labels of density clusters; -1 for noise. Cores within eps are joined, a border node takes the first core's."""
+    near = dist <= eps
+    np.fill_diagonal(near, True)
+    core = near.sum(axis=1) >= least
+    label = [-1] * len(dist)
+    k = 0
+    for i in np.flatnonzero(core):
+        if label[i] >= 0:
+            continue
+        todo = [i]
+        label[i] = k
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()] & core):
+                if label[j] < 0:
+                    label[j] = k
+                    todo.append(j)
+        k += 1
+    for i in np.flatnonzero(~core):
+        hit = np.flatnonzero(near[i] & core)
+        if len(hit):
+            label[i] = min(label[j] for j in hit)
+    return label
+
+
+def propagated_labels(adjacent: np.ndarray, rounds: int = 20) -> list[int]:
+    """Labels by propagation: each node takes the heaviest label beside it, the smallest of equals, all at once, until none changes."""
+    n = len(adjacent)
+    label = np.arange(n)
+    for _ in range(rounds):
+        votes = np.zeros((n, n))
+        for c in np.unique(label):
+            votes[:, c] = adjacent[:, label == c].sum(axis=1)
+        new = np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), label)
+        if (new == label).all():
+            break
+        label = new
+    return label.tolist()
 
 
 def _warp(a: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:

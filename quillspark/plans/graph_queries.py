@@ -74,7 +74,7 @@ register("embedding_cosine_pairs", embedding_search, "SELECT vec_id, other, row_
 
 # networks of texts merged by source and language
 NET = r"""g AS (SELECT source || '/' || coalesce(lang, '-') AS node, word, count(*) AS c FROM (SELECT source, lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents WHERE source IS NOT NULL) GROUP BY ALL),
-top AS (SELECT word FROM g GROUP BY word ORDER BY sum(c) DESC, word LIMIT 100), n AS (SELECT node, sum(c)::DOUBLE AS n FROM g GROUP BY node HAVING count(*) FILTER (WHERE word IN (SELECT word FROM top)) > 0),
+nt AS (SELECT node, sum(c)::DOUBLE AS t FROM g GROUP BY node), top AS (SELECT word FROM g JOIN nt USING (node) GROUP BY word ORDER BY round(sum(c / t), 9) DESC, word LIMIT 100), n AS (SELECT node, sum(c)::DOUBLE AS n FROM g GROUP BY node HAVING count(*) FILTER (WHERE word IN (SELECT word FROM top)) > 0),
 x AS (SELECT node, word, coalesce(c, 0) / n AS x FROM n CROSS JOIN top LEFT JOIN g USING (node, word)),
 e AS (SELECT a.node AS src, b.node AS dst, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 6) AS w FROM x a JOIN x b USING (word) WHERE a.node <> b.node GROUP BY a.node, b.node)"""
 CUT = f"{NET}, cut AS (SELECT quantile_cont(w, 0.9) AS q FROM e WHERE src < dst), t AS (SELECT e.* FROM e, cut WHERE w >= q)"
