@@ -13,18 +13,20 @@ from quillspark.operators import kernels
 from quillspark.session import written
 
 
-def hashed_vectors(df: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:
+def hashed_vectors(df: DataFrame, key: str | list[str] = "doc_id", text: str = "text", dim: int = 64) -> DataFrame:
     """(key, vec): words are added to or taken from the number their hash names, and the sum scaled to length 1.
 
-    The seeded random projection of the word counts; a text without words has a vector of zeros.
+    The seeded random projection of the word counts; the hash is the first 32 bits of MD5, so any engine can check
+    it. A text without words has a vector of zeros. key may be several columns.
     """
-    words = df.select(key, F.explode(T.words(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    h = F.xxhash64("w")
-    part = words.groupBy(key, F.pmod(h, F.lit(dim)).alias("j")).agg(F.sum(F.when(F.shiftright(h, 32) % 2 == 0, F.col("n")).otherwise(-F.col("n"))).cast("double").alias("x"))
-    packed = part.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("j", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
+    keys = [key] if isinstance(key, str) else list(key)
+    words = df.select(*keys, F.explode(T.words(F.col(text))).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("n"))
+    h = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
+    part = words.groupBy(*keys, F.pmod(h, F.lit(dim)).alias("j")).agg(F.sum(F.when(F.floor(h / dim) % 2 == 0, F.col("n")).otherwise(-F.col("n"))).cast("double").alias("x"))
+    packed = part.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("j", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
     vec = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda j: F.coalesce(F.try_element_at("m", j) / F.nullif("len", F.lit(0.0)), F.lit(0.0)))
     zero = F.array_repeat(F.lit(0.0), dim)
-    return df.select(key).join(packed.select(key, vec.alias("vec")), key, "left").select(key, F.coalesce("vec", zero).alias("vec"))
+    return df.select(*keys).join(packed.select(*keys, vec.alias("vec")), keys, "left").select(*keys, F.coalesce("vec", zero).alias("vec"))
 
 
 def document_vectors(df: DataFrame, key: str = "doc_id", text: str = "text", dim: int = 32, seed: int = 42) -> DataFrame:

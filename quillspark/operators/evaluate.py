@@ -183,3 +183,17 @@ def ext_silhouette(rows: DataFrame, value: str = "value") -> DataFrame:
 
     r = rows.where(F.col(value).isNotNull() & F.col("cluster").isNotNull()).select("run", "cluster", F.col(value).alias("value"))
     return r.groupBy("run").applyInPandas(score, "run long, ext_silhouette double")
+
+
+def regressed_clusters(table: DataFrame) -> DataFrame:
+    """(run, acc, balanced_acc) of a balanced multinomial regression of an attribute's classes on the clusters, on the same rows.
+
+    With a class as the only regressor the model is saturated, so its fit is known: each class predicts the cluster
+    with the greatest share of its members, n(class, cluster) / n(cluster), the first of equals.
+    """
+    size = table.groupBy("run", "cluster").agg(F.sum("n").alias("_c"))
+    cells = table.join(size, ["run", "cluster"])
+    best = cells.groupBy("run", "attr").agg(F.min(F.struct((-F.round(F.col("n") / F.col("_c"), 12)).alias("s"), "cluster")).alias("b")).select("run", "attr", F.col("b.cluster").alias("cluster"))
+    hit = cells.join(best, ["run", "attr", "cluster"]).groupBy("run", "cluster").agg(F.sum("n").alias("_h"))
+    per = size.join(hit, ["run", "cluster"], "left").withColumn("_h", F.coalesce("_h", F.lit(0)))
+    return per.groupBy("run").agg(F.round(F.sum("_h") / F.sum("_c"), 6).alias("acc"), F.round(F.avg(F.col("_h") / F.col("_c")), 6).alias("balanced_acc"))

@@ -264,16 +264,22 @@ def _within(seconds: float | None, f: Callable):
         return f()
     import signal
 
+    on = [True]
+
     def stop(*_):
-        raise _TooLong
+        if on[0]:
+            raise _TooLong
 
     before = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
     try:
-        return f()
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+        out = f()
+        on[0] = False
+        return out
     except _TooLong:
         return None
     finally:
+        on[0] = False
         signal.setitimer(signal.ITIMER_REAL, 0)
         signal.signal(signal.SIGALRM, before)
 

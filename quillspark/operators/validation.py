@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,3 +88,114 @@ def grid_search(df: DataFrame, estimators: list, evaluator, fold: str, label: st
         scores = [evaluator.evaluate(e.fit(df.where(F.col(fold) != f)).transform(df.where(F.col(fold) == f))) for f in folds]
         out.append((i, float(np.mean(scores)), scores))
     return out
+
+
+def aliased_groups(df: DataFrame, group: str, alias: DataFrame) -> DataFrame:
+    """df with the column group replaced by the name that alias (alias, name) gives it, where there is one."""
+    a = alias.select(F.col("alias").alias("_a"), F.col("name").alias("_name"))
+    return df.join(a, F.col(group) == F.col("_a"), "left").withColumn(group, F.coalesce("_name", group)).drop("_a", "_name")
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
+    """(group, fold): whole groups, each to the fold where the shares of the labels then vary least over the folds.
+
+    Groups come by falling spread of their label counts, equal ones by name; of folds that do equally well the
+    one with fewer rows, then the first. Only distinct vectors of label counts, with their numbers, go to the
+    driver, in the order in which their groups are dealt; a row number within a vector says which group is which.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(label).isNotNull())
+    labels = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
+    vec = F.array(*[F.count_if(F.col(label) == x) for x in labels]) if labels else F.array().cast("array<long>")
+    counted = rows.groupBy(group).agg(vec.alias("_v"))
+    kinds = [(list(r["_v"]), r["k"]) for r in counted.groupBy("_v").agg(F.count("*").alias("k")).collect()]
+    kinds.sort(key=lambda x: (-float(np.std(x[0])), x[0]))
+    total = np.sum([np.array(v) * k for v, k in kinds], axis=0) if kinds else np.zeros(0)
+    have = np.zeros((folds, len(labels)))
+    plan = []
+    for v, k in kinds:
+        order = []
+        for _ in range(k):
+            best = None
+            for f in range(folds):
+                have[f] += v
+                score = float(np.mean(np.std(have / total, axis=0)))
+                have[f] -= v
+                rank = (round(score, 12), float(have[f].sum()), f)
+                best = min(best or rank, rank)
+            have[best[2]] += v
+            order.append(best[2])
+        plan.append((v, order))
+    table = df.sparkSession.createDataFrame(plan, "_v array<long>, _o array<int>")
+    at = F.row_number().over(Window.partitionBy("_v").orderBy(group)) - 1
+    return counted.withColumn("_at", at).join(F.broadcast(table), "_v").select(group, F.get("_o", F.col("_at")).alias("fold"))
+
+
+def dropped(df: DataFrame, parts: list[str]) -> DataFrame:
+    """df without the columns whose names hold one of parts."""
+    return df.select(*[c for c in df.columns if not any(p in c for p in parts)])
+
+
+def baseline_scores(df: DataFrame, y: str, key: str, seed: int = 1) -> DataFrame:
+    """(baseline, acc) of guesses that don't look at the text: the first class for all, uniform, by the classes' shares, and one of the two largest.
+
+    The chance of a row comes from its key and the seed alone.
+    """
+    rows = df.where(F.col(y).isNotNull())
+    n = rows.groupBy(y).agg(F.count("*").alias("_n"))
+    order = Window.orderBy(F.desc("_n"), y)
+    c = n.select(y, "_n", (F.row_number().over(order) - 1).alias("_i"), F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("_k"))
+    packed = c.agg(F.sort_array(F.collect_list(F.struct("_i", F.col(y).alias("c"), "_to"))).alias("_c"), F.max("_all").alias("_all"), F.max("_k").alias("_k"), F.min(y).alias("_first"))
+    u = (F.col(key) * 7919 + seed * 104729) % 1000 / 1000
+    # one row of classes is broadcast
+    d = rows.crossJoin(F.broadcast(packed)).withColumn("_u", u)
+    by_share = F.element_at(F.filter("_c", lambda x: F.col("_u") * F.col("_all") < x["_to"]), 1)["c"]
+    pick = lambda i: F.get("_c", i.cast("int"))["c"]
+    guess = {"all_first": F.col("_first"), "uniform": pick(F.floor(F.col("_u") * F.col("_k"))), "by_share": by_share, "two_largest": pick(F.floor(F.col("_u") * F.least(F.col("_k"), F.lit(2)))), "half_and_quarters": pick(F.least(F.when(F.col("_u") < 0.5, 0).when(F.col("_u") < 0.75, 1).otherwise(2), F.col("_k") - 1))}
+    one = d.agg(*[F.round(F.avg((g == F.col(y)).cast("double")), 6).alias(k) for k, g in guess.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("baseline"), F.col(k).alias("acc")) for k in guess])).alias("x")).select("x.*")
+
+
+def nested_scores(df: DataFrame, estimators: list, label: str, outer: str, inner: int = 3, group: str = "g", refit=None) -> list[dict]:
+    """One row an outer fold: the estimator that refit chooses by the inner folds, and its scores on the rows left out.
+
+    df has features, label, the group and the outer fold (0, 1, ...). Inner folds keep groups together too. refit
+    takes [(estimator number, mean metrics)] and gives a number; by default the estimator with the greatest mean r
+    among those whose p-values' harmonic mean is under 0.1, else of all.
+    """
+    from quillspark.functions import special
+    from quillspark.session import written
+
+    def scores(p: DataFrame) -> dict:
+        r = regression_metrics(p, label, "prediction").first().asDict()
+        n, c = r["n"], r["r"]
+        if c is None or n < 3 or not math.isfinite(c):
+            return r | {"r": 0.0, "p": 1.0}
+        t2 = c * c * (n - 2) / max(1e-12, 1 - c * c)
+        return r | {"p": special.f_sf(t2, 1, n - 2)}
+
+    def choose(tried):
+        def harmonic(ps):
+            return 0.0 if min(ps) == 0 else len(ps) / sum(1 / x for x in ps)
+
+        good = [(np.mean([s["r"] for s in ss]), -i) for i, ss in tried if harmonic([s["p"] for s in ss]) < 0.1]
+        best = max(good or [(np.mean([s["r"] for s in ss]), -i) for i, ss in tried])
+        return -best[1]
+
+    out = []
+    for f in sorted(r[0] for r in df.select(outer).distinct().collect()):
+        train, test = written(df.where(F.col(outer) != f)), df.where(F.col(outer) == f)
+        folds = group_folds(train, group, inner).select(F.col(group).alias("_g"), F.col("fold").alias("_inner"))
+        parts = written(train.join(folds, F.col(group) == F.col("_g")).drop("_g"))
+        tried = [(i, [scores(e.fit(parts.where(F.col("_inner") != k)).transform(parts.where(F.col("_inner") == k))) for k in range(inner)]) for i, e in enumerate(estimators)]
+        i = (refit or choose)(tried)
+        model = estimators[i].fit(train)
+        out.append({"fold": f, "model": i, "inner_r": float(np.mean([s["r"] for s in tried[i][1]])), **scores(model.transform(test)), "fitted": model})
+    return out
+
+
+def summed_importances(models: list, columns: list[str], least: float = 0.02, top: int = 30) -> list[tuple[str, float, bool]]:
+    """(feature, importance summed over the models, over least), the top greatest and all that tie with the last."""
+    total = np.sum([m.featureImportances.toArray() for m in models], axis=0)
+    rows = sorted(zip(columns, total.tolist()), key=lambda x: (-x[1], x[0]))
+    last = rows[min(top, len(rows)) - 1][1] if rows else 0.0
+    return [(c, v, v > least) for c, v in rows if v >= last]

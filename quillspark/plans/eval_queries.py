@@ -39,7 +39,6 @@ scores = lambda s, d: E.external_scores(E.contingency(with_attr(s, d, "gender"))
 for k, v in EXT.items():
     register(k, lambda s, d, k=k: scores(s, d).select("run", k), f"WITH {CONT} SELECT run, round({v}, 6) AS {k} FROM y")
 register("homogeneity_vmeasure", lambda s, d: scores(s, d).select("run", "homogeneity", "completeness", "vmeasure"), f"WITH {CONT} SELECT run, round(hom, 6) AS homogeneity, round(com, 6) AS completeness, round(CASE WHEN hom + com < 1e-12 THEN 0 ELSE 2 * hom * com / (hom + com) END, 6) AS vmeasure FROM y")
-register("ami", lambda s, d: E.adjusted_mi(E.contingency(with_attr(s, d, "gender"))))
 register("cluster_sizes_rle", lambda s, d: E.cluster_info(runs(s, d)), f"WITH {RUNS} SELECT run, sum(k)::BIGINT AS nclust, string_agg(CASE WHEN k > 1 THEN k || 'x' || n ELSE n::VARCHAR END, ', ' ORDER BY n DESC) AS clst_sizes FROM (SELECT run, n, count(*) AS k FROM (SELECT run, cluster, count(*) AS n FROM rr GROUP BY run, cluster) GROUP BY run, n) GROUP BY run")
 register("cluster_validity", lambda s, d: E.validity(runs(s, d)), f"WITH {RUNS} SELECT run, count(*) AS nclust, max(n) AS largest, count(*) > 1 AND max(n) > 1 AS valid FROM (SELECT run, cluster, count(*) AS n FROM rr GROUP BY run, cluster) GROUP BY run")
 
@@ -63,7 +62,12 @@ register("wcss", lambda s, d: E.numeric_scores(num(s, d)).select("run", "wcss"),
 FSQL = "round(((q - S * S / N) / nullif(k - 1, 0)) / nullif(ssw / nullif(N - k, 0), 0), 4)"
 register("anova_f", lambda s, d: E.numeric_scores(num(s, d)).select("run", "anova_f"), f"WITH {NUM} SELECT run, {FSQL} AS anova_f FROM q")
 register("calinski_harabasz", lambda s, d: E.numeric_scores(num(s, d)).select("run", F.col("anova_f").alias("calinski_harabasz")), f"WITH {NUM} SELECT run, {FSQL} AS calinski_harabasz FROM q")
-register("anova_p", lambda s, d: E.anova_p(E.numeric_scores(num(s, d))))
+#: The upper tail of F as an incomplete beta integral over an angle, by Simpson's rule.
+TAIL = f"""{NUM}, f AS (SELECT run, {FSQL} AS anova_f, (k - 1)::DOUBLE AS d1, (N - k)::DOUBLE AS d2 FROM q),
+w AS (SELECT run, anova_f, d1, d2, asin(sqrt(d2 / (d2 + d1 * anova_f))) AS top, lgamma(d2 / 2) + lgamma(d1 / 2) - lgamma((d1 + d2) / 2) AS lb FROM f WHERE anova_f IS NOT NULL),
+si AS (SELECT run, sum((CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * CASE WHEN i = 0 AND d2 > 1 THEN 0 ELSE 2 * exp((d2 - 1) * CASE WHEN d2 = 1 THEN 0 ELSE ln(sin(top * i / 4000)) END + (d1 - 1) * CASE WHEN d1 = 1 THEN 0 ELSE ln(greatest(cos(top * i / 4000), 1e-300)) END - lb) END) * max(top) / 4000 / 3 AS p FROM w, range(0, 4001) r(i) GROUP BY run)"""
+register("anova_p", lambda s, d: E.anova_p(E.numeric_scores(num(s, d))).select("run", "anova_f", F.round("pval", 6).alias("pval")), f"WITH {TAIL} SELECT f.run, f.anova_f, round(p, 6) AS pval FROM f LEFT JOIN si USING (run)")
+register("logreg_attr_cluster", lambda s, d: E.regressed_clusters(E.contingency(with_attr(s, d, "gender"))), f"WITH {CONT}, sc AS (SELECT run, cluster, sum(n) AS c FROM t GROUP BY run, cluster), be AS (SELECT t.run, t.attr, t.cluster, t.n FROM t JOIN sc USING (run, cluster) QUALIFY row_number() OVER (PARTITION BY t.run, t.attr ORDER BY round(t.n / c, 12) DESC, t.cluster) = 1), hi AS (SELECT run, cluster, sum(n) AS h FROM be GROUP BY run, cluster) SELECT run, round(sum(coalesce(h, 0)) / sum(c), 6) AS acc, round(avg(coalesce(h, 0) / c), 6) AS balanced_acc FROM sc LEFT JOIN hi USING (run, cluster) GROUP BY run")
 register("davies_bouldin", lambda s, d: E.davies_bouldin(num(s, d)), f"WITH {NUM}, sd AS (SELECT v.run, v.cluster, m, avg(abs(value - m)) AS s FROM v JOIN p USING (run, cluster) GROUP BY v.run, v.cluster, m) SELECT run, round(avg(d), 4) AS davies_bouldin FROM (SELECT a.run, a.cluster, max((a.s + b.s) / nullif(round(abs(a.m - b.m), 9), 0)) AS d FROM sd a JOIN sd b ON a.run = b.run AND a.cluster <> b.cluster GROUP BY a.run, a.cluster) GROUP BY run")
 register("kruskal_h", lambda s, d: E.kruskal(num(s, d)), f"WITH {NUM}, vals AS (SELECT run, value, count(*) AS t FROM v GROUP BY run, value), rk AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY run ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rank FROM vals), ti AS (SELECT run, sum(t::DOUBLE * t * t - t) AS tie, sum(t)::DOUBLE AS N FROM vals GROUP BY run), rs AS (SELECT run, cluster, sum(rank) AS R, count(*) AS n FROM v JOIN rk USING (run, value) GROUP BY run, cluster), qq AS (SELECT run, sum(R * R / n) AS q, count(*) AS k FROM rs GROUP BY run) SELECT run, CASE WHEN k > 1 THEN round((12 / (N * (N + 1)) * q - 3 * (N + 1)) / nullif(1 - tie / nullif(N * N * N - N, 0), 0), 4) END AS kruskal_h FROM qq JOIN ti USING (run)")
 register("ext_silhouette", lambda s, d: E.ext_silhouette(num(s, d)), f"WITH {NUM}, ii AS (SELECT row_number() OVER () AS i, run, cluster, value FROM v), dd AS (SELECT a.i, a.run, a.cluster AS ca, b.cluster AS cb, sum(abs(a.value - b.value)) AS sm, count(*) AS n FROM ii a JOIN ii b ON a.run = b.run GROUP BY a.i, a.run, a.cluster, b.cluster), ab AS (SELECT i, run, max(n) FILTER (WHERE ca = cb) AS n, max(sm / greatest(n - 1, 1)) FILTER (WHERE ca = cb) AS a, min(sm / n) FILTER (WHERE ca <> cb) AS b FROM dd GROUP BY i, run) SELECT run, CASE WHEN count(b) > 0 THEN round(avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) END AS ext_silhouette FROM ab GROUP BY run")

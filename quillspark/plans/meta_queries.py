@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import metadata as M
 from quillspark.operators import validation as P
+from quillspark.plans.ngram_queries import FCOLS
 from quillspark.plans.registry import register
+from quillspark.session import written
 from quillspark.sources.tables import table
 
 md = lambda s, d: table(s, d, "metadata").distinct()
@@ -106,9 +108,26 @@ def xy(s, d):
 
 
 XY = f"{MD}, {CUR}, xy AS (SELECT text_id, comma_rate_full, verb_share_full, canon FROM cu JOIN md USING (text_id) WHERE comma_rate_full IS NOT NULL AND verb_share_full IS NOT NULL AND canon IS NOT NULL)"
-register("xy_assembly", xy, f"WITH {XY} SELECT * FROM xy")
-register("standard_scaled", lambda s, d: xy(s, d).crossJoin(F.broadcast(xy(s, d).agg(F.avg("verb_share_full").alias("m"), F.stddev_samp("verb_share_full").alias("sd")))).select("text_id", F.round((F.col("verb_share_full") - F.col("m")) / F.nullif("sd", F.lit(0.0)), 6).alias("z")), f"WITH {XY} SELECT text_id, round((verb_share_full - avg(verb_share_full) OVER ()) / nullif(stddev_samp(verb_share_full) OVER (), 0), 6) AS z FROM xy")
-register("group_kfold", lambda s, d: P.group_folds(md(s, d).withColumn("g", fa()), "g").groupBy("fold").agg(F.count("*").alias("groups"), F.sum("n").alias("texts")))
+
+
+def full_xy(s, d):
+    """All features of the current rows, impossible values as null, with the score to predict."""
+    f = table(s, d, "features").groupBy("text_id").agg(F.max(F.struct("computed_at", *FCOLS)).alias("m")).select("text_id", *[F.when(F.col(f"m.{c}") >= 0, F.col(f"m.{c}")).alias(c) for c in FCOLS])
+    return f.join(md(s, d).where("canon IS NOT NULL").select("text_id", "canon"), "text_id")
+
+
+FULL_XY = f"{MD}, fc AS (SELECT text_id, {', '.join(f'CASE WHEN {c} >= 0 THEN {c} END AS {c}' for c in FCOLS)} FROM features QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY computed_at DESC, {', '.join(f'{c} DESC' for c in FCOLS)}) = 1), fx AS (SELECT fc.*, canon FROM fc JOIN md USING (text_id) WHERE canon IS NOT NULL)"
+register("xy_assembly", full_xy, f"WITH {FULL_XY} SELECT * FROM fx")
+
+
+def scaled(s, d):
+    x = written(full_xy(s, d))
+    ends = x.agg(*[F.avg(c).alias(f"_m_{c}") for c in FCOLS], *[F.stddev_samp(c).alias(f"_s_{c}") for c in FCOLS])
+    # one row is broadcast
+    return x.crossJoin(F.broadcast(ends)).select("text_id", *[F.round((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), 5).alias(c) for c in FCOLS])
+
+
+register("standard_scaled", scaled, f"WITH {FULL_XY} SELECT text_id, {', '.join(f'round(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 5) AS {c}' for c in FCOLS)} FROM fx")
 register("regression_metrics", lambda s, d: P.regression_metrics(xy(s, d).where("verb_share_full > 0").withColumn("p", F.col("verb_share_full") * 3), "canon", "p"), f"WITH {XY}, e AS (SELECT canon AS y, verb_share_full * 3 AS p FROM xy WHERE verb_share_full > 0) SELECT round(corr(y, p), 6) AS r, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(sum((y - p) * (y - p)) / count(*)), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, count(*) AS n FROM e")
 PRED = "SELECT lang AS y, CASE WHEN n_chars < 600 THEN 'de' WHEN n_chars < 2500 THEN 'en' ELSE 'fr' END AS p FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL"
 pred = lambda s, d: docs(s, d).where("lang IS NOT NULL AND n_chars IS NOT NULL").select(F.col("lang").alias("y"), F.expr("CASE WHEN n_chars < 600 THEN 'de' WHEN n_chars < 2500 THEN 'en' ELSE 'fr' END").alias("p"))

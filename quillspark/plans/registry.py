@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of quillspark.plans that register queries.
-MODULES = ("text_queries", "ngram_queries", "graph_queries", "eval_queries", "meta_queries", "model_queries", "file_queries")
+MODULES = ("text_queries", "ngram_queries", "graph_queries", "eval_queries", "meta_queries", "model_queries", "file_queries", "extra_queries")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

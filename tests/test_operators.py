@@ -387,3 +387,134 @@ def test_structure_walks(spark):
     assert sorted(map(str, got)) == sorted(map(str, embed.structure_walks(df).collect()))
     assert embed.structure_walks(df.where("w < 0")).count() == 0
     assert embed.struc2vec(df).count() == 66
+
+
+def test_leaf_order_is_optimal():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 5, 8):
+        x = rng.random((n, 2))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        order = kernels.leaf_order(d)
+        assert sorted(order) == list(range(n))
+        groups = [[i] for i in range(n)]
+        orders = {i: [[i]] for i in range(n)}
+        for i, j, _ in kernels.linkage(d, "average"):
+            a, b = orders.pop(i), orders.pop(j)
+            orders[i] = [p + q for x_, y_ in ((a, b), (b, a)) for p in x_ for q in y_]
+        length = lambda o: sum(d[p, q] for p, q in zip(o, o[1:]))
+        assert length(order) == pytest.approx(min(map(length, orders[next(iter(orders))]))) and len(groups) == n
+    assert kernels.leaf_order(np.zeros((0, 0))) == []
+
+
+def test_density_and_propagated_labels():
+    d = np.array([[0, 1, 1, 9, 9, 9], [1, 0, 1, 9, 9, 9], [1, 1, 0, 2, 9, 9], [9, 9, 2, 0, 9, 9], [9, 9, 9, 9, 0, 9], [9, 9, 9, 9, 9, 0.0]])
+    assert kernels.dbscan_labels(d, 1, 3) == [0, 0, 0, -1, -1, -1]
+    assert kernels.dbscan_labels(d, 2, 3) == [0, 0, 0, 0, -1, -1]
+    a = (d == 1).astype(float)
+    assert len(set(kernels.propagated_labels(a)[:3])) == 1 and kernels.propagated_labels(np.zeros((3, 3))) == [0, 1, 2]
+
+
+def test_clustering_grid_limits_and_resumes(spark):
+    rng = np.random.default_rng(13)
+    rows = [("m", f"n{i}", f"n{j}", float(rng.random())) for i in range(30) for j in range(30) if i != j]
+    e = spark.createDataFrame(rows, "mxname string, src string, dst string, w double")
+    settings_ = [("medoids", "3"), ("louvain", "1.0"), ("hierarchical", "4-ward"), ("dbscan", "0.00001-9")]
+    one = kernels.cluster_grid(e, settings_).toPandas()
+    assert len(one) == 4 * 30 and set(one["outcome"]) == {"success"} and one[one["alg"] == "dbscan"]["cluster"].isna().all()
+    done = spark.createDataFrame([("m", "medoids", "3"), ("m", "louvain", "1.0")], "mxname string, alg string, param string")
+    assert set(kernels.cluster_grid(e, settings_, done=done).toPandas()["alg"]) == {"hierarchical", "dbscan"}
+    assert kernels.cluster_grid(e, settings_[:2], done=done).count() == 0
+    assert set(kernels.cluster_grid(e, [("medoids", "9")], seconds=1e-4).toPandas()["outcome"]) == {"timeout"}
+
+
+def test_centralities(spark):
+    path = [("a", "b"), ("b", "c"), ("c", "d"), ("b", "e")]
+    e = spark.createDataFrame([(x, y, 1.0) for p in path for x, y in (p, p[::-1])], "src string, dst string, w double")
+    got = {r["node"]: (r["degree"], r["closeness"], r["betweenness"]) for r in graph.centralities(e).collect()}
+    assert got["b"] == (3, 0.8, 5.0) and got["c"][2] == 3.0 and got["a"][2] == 0.0 and got["d"] == (1, pytest.approx(4 / 9, abs=1e-6), 0.0)
+    ring = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")]
+    e = spark.createDataFrame([(x, y, 1.0) for p in ring for x, y in (p, p[::-1])], "src string, dst string, w double")
+    assert {r["betweenness"] for r in graph.centralities(e).collect()} == {0.5}
+    assert graph.centralities(e.where("w > 2")).count() == 0
+
+
+def test_matrix_checks(spark):
+    cells = [("a", "a", 1.0), ("a", "b", 0.5), ("b", "a", 0.4), ("a", "c", 0.1), ("a", "c", 0.1), ("b", "b", 0.9)]
+    d = spark.createDataFrame(cells, "src string, dst string, w double")
+    r = graph.matrix_checks(d).first()
+    assert (r["n_nodes"], r["n_cells"], r["n_missing"], r["n_repeated"], r["n_asymmetric"], r["n_off_diagonal"]) == (3, 6, 3, 1, 3, 1)
+    bad = spark.createDataFrame([("a", "b", None), ("b", "a", float("nan")), ("c", "c", 1.0)], "src string, dst string, w double")
+    assert tuple(graph.bad_weights(bad).first()) == (3, 1, 1, 1)
+    assert sorted(r["w"] for r in graph.replace_nan(bad, 0.5).collect()) == [0.5, 0.5, 1.0]
+
+
+def test_point_in_polygon(spark):
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 1.0), (0.0, 2.0)]
+    pts = [(0.5, 0.5, True), (1.0, 1.5, False), (0.2, 1.5, True), (3.0, 1.0, False), (1.9, 1.5, True)]
+    d = spark.createDataFrame(pts, "x double, y double, inside boolean")
+    assert d.where(graph.in_polygon(F.col("x"), F.col("y"), square) != F.col("inside")).count() == 0
+
+
+def test_stratified_groups(spark):
+    rng = np.random.default_rng(14)
+    rows = [(f"g{rng.integers(40)}", str(rng.choice(["x", "y", "z"], p=[0.6, 0.3, 0.1]))) for _ in range(600)] + [(None, "x"), ("g1", None)]
+    d = spark.createDataFrame(rows, "g string, y string")
+    folds = {r["g"]: r["fold"] for r in validation.stratified_group_folds(d, "g", "y", 4).collect()}
+    assert len(folds) == 40 and set(folds.values()) == {0, 1, 2, 3}
+    table = pd.crosstab([folds[g] for g, y in rows[:-2]], [y for g, y in rows[:-2]])
+    assert (table / table.sum()).to_numpy().std(axis=0).max() < 0.06
+    assert validation.stratified_group_folds(d.where("g = 'none'"), "g", "y").count() == 0
+
+
+def test_aliases_and_dropped_columns(spark):
+    d = spark.createDataFrame([("A", 1), ("B", 2), (None, 3)], "g string, n_ratio int")
+    a = spark.createDataFrame([("B", "A")], "alias string, name string")
+    assert sorted((r["g"] or "") for r in validation.aliased_groups(d, "g", a).collect()) == ["", "A", "A"]
+    assert validation.dropped(d, ["ratio"]).columns == ["g"]
+
+
+def test_nested_scores(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import LinearRegression
+
+    rng = np.random.default_rng(15)
+    rows = [(Vectors.dense([float(x)]), float(2 * x + rng.normal(0, 0.01)), f"g{i % 12}", (i % 12) % 2) for i, x in enumerate(rng.random(120))]
+    d = spark.createDataFrame(rows, ["features", "label", "g", "outer"])
+    got = validation.nested_scores(d, [LinearRegression(regParam=5.0), LinearRegression()], "label", "outer", 2)
+    assert [r["fold"] for r in got] == [0, 1] and all(r["r"] > 0.99 for r in got)
+    assert all(r["n"] == 60 for r in got)
+
+
+def test_more_files(spark, tmp_path):
+    d = spark.createDataFrame([(["a", "b"],), ([],), (["c"],)], "x array<string>")
+    files.write_lists(d, "x", f"{tmp_path}/l")
+    assert sorted(r["items"] for r in files.read_lists(spark, f"{tmp_path}/l").collect()) == [[], ["a", "b"], ["c"]]
+    v = spark.createDataFrame([("a", [1.5]), ("b", [2.5])], "node string, vec array<double>")
+    files.write_word2vec(v, f"{tmp_path}/v")
+    assert {r["node"]: r["vec"] for r in files.read_word2vec(spark, f"{tmp_path}/v").collect()} == {"a": [1.5], "b": [2.5]}
+    m = spark.createDataFrame([("a", "b", 0.5), ("b", "a", 0.5), ("c", "a", 0.1)], "src string, dst string, w double")
+    files.write_matrix(m, f"{tmp_path}/m")
+    assert {(r["src"], r["dst"]): r["w"] for r in files.read_matrix(spark, f"{tmp_path}/m").collect()}[("c", "a")] == 0.1
+    (tmp_path / "c.csv").write_text("# remark\nk;v\n1;x\n2;NA\n")
+    assert files.sniff_separator(spark, f"{tmp_path}/c.csv", 1) == ";"
+    assert [tuple(r) for r in files.read_csv(spark, f"{tmp_path}/c.csv", "k int, v string", None, skip=1).collect()] == [(1, "x"), (2, None)]
+
+
+def test_folders(spark):
+    from quillspark import session as S
+
+    made = S.written(spark.range(3))
+    assert S.once(made) is made and S.once(spark.range(3)) is not made
+    path = made.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    import os
+
+    assert os.path.exists(path)
+    S.done_with(made, None)
+    assert not os.path.exists(path)
+
+
+def test_features_read_the_corpus_once(spark, tmp_path):
+    """The tokens are counted in one job; what uses the counts again reads the table of counts."""
+    docs(spark, ["a b c", "a b d"]).write.parquet(f"{tmp_path}/documents.parquet")
+    plan = features.corpus_distance(ngrams.counts(spark.read.parquet(f"{tmp_path}/documents.parquet"), 1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan

@@ -15,7 +15,7 @@ duckdb = pytest.importorskip("duckdb")
 CHOSEN = [
     "scan_documents", "clean_text", "rule_replace", "sentences", "chunk_greedy", "chunk_balanced", "chunk_text", "chunk_ngrams", "ngram_tables", "features_book", "features_baac", "features_cacb", "feature_merge", "outlier_score", "bigram_counts", "mfw_top", "feat_entropy_2", "stepwise_distance", "overlap_score",
     "unigram_distance_limited", "tag_ngrams_rel", "delta_burrows", "delta_linear", "cosine_sim", "sparsify_authormin", "sparsify_simmel", "connected_components", "dbscan_labels", "lpa",
-    "modularity", "silhouette", "ari", "nmi", "kruskal_h", "ext_silhouette", "cluster_sizes_rle", "topeval_pipeline", "max_cluster_filter", "spearman", "levenshtein_match", "classification_metrics", "near_dup_jaccard",
+    "modularity", "silhouette", "ari", "nmi", "kruskal_h", "ext_silhouette", "cluster_sizes_rle", "topeval_pipeline", "max_cluster_filter", "spearman", "levenshtein_match", "line_lists", "matrix_file", "rule_table_replace", "fuzzy_sentences", "centralities", "random_simmelian", "author_texts", "baseline_guesses", "ami", "anova_p", "group_kfold", "eval_rows", "hashed_vectors", "classification_metrics", "near_dup_jaccard",
 ]
 
 
