@@ -462,6 +462,44 @@ def test_scans(spark):
     assert scans.found(df.where("text_id < 0")).count() == 0
 
 
+def test_scans_of_a_repeated_corpus(spark):
+    """A corpus ten times under other ids is read as once, and rows of one id count once."""
+    rng = np.random.default_rng(16)
+    pure = ["the gentle farmer carried the heavy basket", "a modest sailor described the distant harbour", "nobody remembered the broken wagon", "the quiet widow praised the narrow bridge"]
+    texts = []
+    for i in range(60):
+        t = ".\n".join(str(x) for x in rng.choice(pure, 12)) + "."
+        if i % 5 == 0:
+            t = t.replace("gentle", "gcntle", 1).replace("bridge", "br1dge", 1) + "\n- 7 -\nthe har-\nbour."
+        texts.append((i, t, f"A_B_T{i}_1800", "1"))
+    schema = "text_id long, text string, file_name string, received_at string"
+    one = spark.createDataFrame(texts, schema)
+    ten = spark.createDataFrame([(100 * k + i, *r) for k in range(10) for i, *r in texts], schema)
+    want = {tuple(r) for r in scans.found(one).collect()}
+    got = [tuple(r) for r in scans.found(ten).collect()]
+    assert want and {(100 * k + i, l, x) for i, l, x in want for k in range(10)} == set(got) and len(got) == len(set(got))
+    assert {tuple(r) for r in scans.found(one.unionAll(one)).collect()} == want
+
+
+def test_vectors_of_rare_words():
+    """A rare word goes with the frequent one whose company it keeps; one in other company is a word of its own."""
+    rng = np.random.default_rng(17)
+    table = np.zeros((40, 20))
+    table[:20, :10], table[20:, 10:] = rng.integers(50, 200, (20, 10)), rng.integers(50, 200, (20, 10))
+    v, u = scans.skip_gram(table)
+    noise = table.sum(axis=0) ** 0.75
+    rare = np.zeros((2, 20))
+    rare[0, :10], rare[1, 10:] = rng.integers(0, 3, 10), rng.integers(0, 3, 10)
+    got = scans.fold_in(rare, u, noise / noise.sum())
+    got /= np.linalg.norm(got, axis=1, keepdims=True)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for k, (near, far) in enumerate(((unit[:20], unit[20:]), (unit[20:], unit[:20]))):
+        a, b = got[k] @ near.T, got[k] @ far.T
+        assert (a > scans.RARE_COSINE).mean() > 0.9 and (b < scans.RARE_COSINE).mean() > 0.8 and a.mean() > b.mean() + 0.4
+    sp = scans.Speller(["house"], np.array([900.0]), np.array([0.0]), np.zeros((1, 2)), np.zeros((1, 2)), frozenset({"honse"}), 40.0)
+    assert sp.correct("honse", False, []) is None and scans.Speller(["house"], np.array([900.0]), np.array([0.0]), np.zeros((1, 2)), np.zeros((1, 2))).correct("honse", False, []) == "house"
+
+
 def test_skip_gram_puts_like_words_together():
     rng = np.random.default_rng(5)
     counts = np.zeros((20, 12))
