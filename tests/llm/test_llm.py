@@ -490,12 +490,8 @@ def test_vectors_of_rare_words():
     noise = table.sum(axis=0) ** 0.75
     rare = np.zeros((2, 20))
     rare[0, :10], rare[1, 10:] = rng.integers(0, 3, 10), rng.integers(0, 3, 10)
-    got = scans.fold_in(rare, u, noise / noise.sum())
-    got /= np.linalg.norm(got, axis=1, keepdims=True)
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    for k, (near, far) in enumerate(((unit[:20], unit[20:]), (unit[20:], unit[:20]))):
-        a, b = got[k] @ near.T, got[k] @ far.T
-        assert (a > scans.RARE_COSINE).mean() > 0.9 and (b < scans.RARE_COSINE).mean() > 0.8 and a.mean() > b.mean() + 0.4
+    got = scans.company(rare, u, v, noise / noise.sum())
+    assert got[0, :20].min() > scans.RARE_FIT > got[0, 20:].max() and got[1, 20:].min() > scans.RARE_FIT > got[1, :20].max()
     sp = scans.Speller(["house"], np.array([900.0]), np.array([0.0]), np.zeros((1, 2)), np.zeros((1, 2)), frozenset({"honse"}), 40.0)
     assert sp.correct("honse", False, []) is None and scans.Speller(["house"], np.array([900.0]), np.array([0.0]), np.zeros((1, 2)), np.zeros((1, 2))).correct("honse", False, []) == "house"
 
