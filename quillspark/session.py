@@ -53,10 +53,6 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass  # the session may have gone
 
 
-#: Path of each table that written() has made and that is still there.
-_tables: dict[int, tuple[DataFrame, str]] = {}
-
-
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors.
 
@@ -68,18 +64,18 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
-    _tables[id(out)] = (out, path)
+    out._written_to = path  # on the object itself, so that nothing keeps it alive
     return out
 
 
 def once(df: DataFrame) -> DataFrame:
     """df itself if written() has made it, else df written: for a table that a plan reads more than once."""
-    return df if id(df) in _tables else written(df)
+    return df if getattr(df, "_written_to", None) else written(df)
 
 
 def done_with(*tables: DataFrame | None) -> None:
     """Removes tables that written() has made and that no DataFrame still to be run reads."""
     for t in tables:
-        kept = _tables.pop(id(t), None)
-        if kept:
-            _drop(t.sparkSession, kept[1])
+        if getattr(t, "_written_to", None):
+            _drop(t.sparkSession, t._written_to)
+            t._written_to = None
