@@ -269,7 +269,7 @@ def link(df: DataFrame, use_viaf: bool = True, **columns: str) -> Linked:
     single = long.join(flat.where("n = 1"), "name")
     side = lambda s: single.where(F.col("side") == s).select("rec", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "kind", "core", "rest", "short")])
     both = side("a").join(side("f"), "rec").where("kind_a = kind_f")
-    person = both.where("kind_a = 'person' AND rest_a <> '' AND rest_f <> ''")
+    person = written(both.where("kind_a = 'person' AND rest_a <> '' AND rest_f <> ''").select("rest_a", "rest_f", "short_a", "short_f", "core_f"))
     alike = written(person.where("NOT short_a AND NOT short_f AND rest_a = rest_f").groupBy(F.col("rest_a").alias("rest")).agg(F.count("*").alias("alike")))
     forms = person.where("rest_a <> rest_f").groupBy(F.least("rest_a", "rest_f").alias("x"), F.greatest("rest_a", "rest_f").alias("y")).agg(F.count("*").alias("n"), F.count_distinct("core_f").alias("cores"))
     forms = forms.join(alike.select(F.col("rest").alias("x"), F.col("alike").alias("ax")), "x", "left").join(alike.select(F.col("rest").alias("y"), F.col("alike").alias("ay")), "y", "left")
@@ -292,7 +292,7 @@ def link(df: DataFrame, use_viaf: bool = True, **columns: str) -> Linked:
     flat = written(flat.withColumn("node", F.concat_ws("\x1f", "kind", "core", "rest")))
 
     # the nodes that may join entities: organisations and persons with a full given name
-    on = long.join(flat, "name")
+    on = written(long.join(flat, "name"))
     nodes = written(on.select("node", "kind", "core", "rest", "short", "common").distinct())
     sure = ["node", "kind", "core", "rest", "common"]
     cand = _candidates(nodes.where("NOT short").select(*sure))
@@ -309,11 +309,11 @@ def link(df: DataFrame, use_viaf: bool = True, **columns: str) -> Linked:
     placed = written(placed.join(label.select(F.col("node").alias("to"), F.col("component").alias("entity")), "to", "left"))
 
     # short forms with nothing beside them: the only entity they fit, else one of their own
-    open_ = placed.where("entity IS NULL").select("node", "core", "rest").distinct()
+    open_ = written(placed.where("entity IS NULL").select("node", "core", "rest").distinct())
     fits = _fitting(open_, nodes.where("NOT short AND kind = 'person'"), label, nick)
-    only = fits.groupBy("node").agg(F.min("entity").alias("fit"), F.countDistinct("entity").alias("ways")).where("ways = 1").select("node", "fit")
+    only = written(fits.groupBy("node").agg(F.min("entity").alias("fit"), F.countDistinct("entity").alias("ways")).where("ways = 1").select("node", "fit"))
     known = placed.where("entity IS NOT NULL AND n = 1").groupBy("node").agg(F.min("entity").alias("was"), F.countDistinct("entity").alias("ways")).where("ways = 1").select("node", "was")
-    done = placed.join(only, "node", "left").join(known, "node", "left").select("rec", "name", "n", "node", F.coalesce("entity", "was", "fit").alias("entity"))
+    done = written(placed.join(only, "node", "left").join(known, "node", "left").select("rec", "name", "n", "node", F.coalesce("entity", "was", "fit").alias("entity")))
     # names of one record are of one entity: one that is still open takes that of the other, or they share the open ones
     in_rec = done.where("n = 1").groupBy("rec").agg(F.collect_set("entity").alias("found"), F.collect_set(F.when(F.col("entity").isNull(), F.concat(F.lit("?"), "node"))).alias("open"))
     done = done.join(in_rec, "rec", "left")
