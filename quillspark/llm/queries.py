@@ -59,6 +59,10 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.decode_corpus(p6_ids(spark, sf_dir))
+
+
 P4_SQL = """
 WITH t AS (
   SELECT text_id, arg_max(text, received_at) AS text FROM text_raw GROUP BY text_id
@@ -104,8 +108,8 @@ FROM w
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
+    return {"p1_found": p1_found, "p2_clusters": p2_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_repaired": p5_repaired, "p6_decoded": p6_decoded, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_layout": p8_layout, "p8_statistics": p8_statistics}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p8_statistics": P8_SQL}
+    return {"p4_found": P4_SQL, "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents", "p8_statistics": P8_SQL}

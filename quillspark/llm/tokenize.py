@@ -37,20 +37,27 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = No
     return os.path.join(folder, name)
 
 
-def _ranks(path: str) -> dict[bytes, int]:
+def _read(path: str) -> bytes:
+    """The vocabulary file, read by the driver; under 1 MB, and sent with the job, so executors need no file."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
 
 
-_encoders: dict[str, object] = {}
+def _ranks(path: str | bytes) -> dict[bytes, int]:
+    data = path if isinstance(path, bytes) else _read(path)
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
-def _encoder(path: str, pattern: str):
+_encoders: dict[tuple[int, str], object] = {}
+
+
+def _encoder(data: bytes, pattern: str):
     import tiktoken
 
-    if path not in _encoders:
-        _encoders[path] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
-    return _encoders[path]
+    key = (hash(data), pattern)
+    if key not in _encoders:
+        _encoders[key] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=_ranks(data), special_tokens={})
+    return _encoders[key]
 
 
 BLOCK_SCHEMA = "block long, docs binary, lens binary, seq binary, words array<string>"
@@ -104,9 +111,9 @@ def _blocks(id_name: str, text_name: str, pattern: str):
     return run
 
 
-def _encode_words(path: str, pattern: str):
+def _encode_words(shared, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern).encode_ordinary
+        encode = _encoder(shared.value, pattern).encode_ordinary
         for b in batches:
             ids = [np.asarray(encode(w), dtype=np.int32).tobytes() for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.binary())], ["word", "ids"])
@@ -146,11 +153,11 @@ def _assemble(id_name: str):
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """(id_col, ids ARRAY<INT>) of every row of df, without special tokens."""
-    path = vocabulary or vocabulary_path()
+    shared = df.sparkSession.sparkContext.broadcast(_read(vocabulary or vocabulary_path()))
     kind = df.schema[id_col].dataType.simpleString()
     blocks = written(df.select(id_col, text_col).mapInArrow(_blocks(id_col, text_col, pattern), BLOCK_SCHEMA))
     listed = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    codes = listed.select("word").distinct().mapInArrow(_encode_words(path, pattern), "word string, ids binary")
+    codes = listed.select("word").distinct().mapInArrow(_encode_words(shared, pattern), "word string, ids binary")
     back = listed.join(codes, "word").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("pairs"))
     whole = blocks.select("block", "docs", "lens", "seq", F.size("words").alias("n_words")).join(back, "block", "left")
     whole = whole.select("docs", "lens", "seq", "n_words", F.coalesce("pairs", F.array().cast("array<struct<at:int,ids:binary>>")).alias("pairs"))
