@@ -141,34 +141,48 @@ FEATURES = [
 ]
 
 
+def array_entropy(items: Column) -> Column:
+    """Natural-log Shannon entropy of the items of an array of longs: the runs of the sorted array are counted in one pass; null if empty."""
+    zero = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(s, x):
+        same = s["last"].eqNullSafe(x)
+        done = F.when(s["run"] > 0, s["run"] * F.ln(s["run"])).otherwise(0.0)
+        return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(1.0).alias("run"), F.when(same, s["sum"]).otherwise(s["sum"] + done).alias("sum"))
+
+    n = F.nullif(F.size(items), F.lit(0)).cast("double")
+    total = F.aggregate(F.sort_array(items), zero, step, lambda s: s["sum"] + F.when(s["run"] > 0, s["run"] * F.ln(s["run"])).otherwise(0.0))
+    return F.ln(n) - total / n
+
+
 def piece_features(df: DataFrame, keys: list[str], text: str = "text", sentences: str | None = None) -> DataFrame:
-    """(keys, FEATURES) of texts or chunks with words: ratios and lengths in one scan, n-gram measures from one shuffle of counts.
+    """(keys, FEATURES) of texts or chunks with words, in one scan without a shuffle.
 
     sentences names a column with the sentences; without it they are cut from the text. Values are rounded to
-    6 digits. Entropies of n-grams of which a text has none are null.
+    6 digits. N-grams are told apart by 64-bit hashes within their text; the entropy of n-grams of which a text
+    has none is null.
     """
     low, t = F.lower(F.col(text)), F.col(text)
     sents = F.col(sentences) if sentences else T.sentences(t)
     base = df.select(*keys, t.alias("_t"), low.alias("_l"), sents.alias("_s"), T.words(t).alias("_w")).where(F.size("_w") > 0)
-    base = base.withColumn("_n", segment.sentence_lengths(F.col("_s")))
+    base = base.withColumns({"_n": segment.sentence_lengths(F.col("_s")), "_h": F.transform("_w", lambda w: F.xxhash64(w)), "_z": F.transform("_w", lambda w: F.length(w))})
+
+    def grams(n: int) -> Column:
+        last = F.size("_h") - (n - 1)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(*[F.get("_h", i - 1 + k) for k in range(n)]))
+        return F.when(last >= 1, runs).otherwise(F.array().cast("array<long>"))
+
     share = lambda chars: T.ratio(T.count_of(F.col("_l"), chars), F.length("_l"))
-    plain = base.select(
+    return base.select(
         *keys,
         share(T.MARKS).alias("ratio_of_punctuation_marks"), share(" ").alias("ratio_of_whitespaces"), share("!").alias("ratio_of_exclamation_marks"), share("?").alias("ratio_of_question_marks"), share(",").alias("ratio_of_commas"),
         T.ratio(F.length(F.regexp_replace("_t", r"[^\p{Lu}]", "")), F.length(F.regexp_replace("_t", r"[^\p{L}]", ""))).alias("ratio_of_uppercase_letters"),
         T.ratio(F.aggregate("_n", F.lit(0), lambda a, n: a + n), F.size("_n")).alias("average_number_of_words_in_sentence"), F.array_max("_n").cast("long").alias("maximum_number_of_words_in_sentence"),
         F.length("_t").cast("long").alias("nr_chars"), F.size(F.regexp_extract_all("_t", F.lit(r"[^ \t\n\r\f]+"), F.lit(0))).cast("long").alias("nr_words"), F.size("_s").cast("long").alias("nr_sentences"),
-        F.round(reading_ease(F.col("_w"), F.size("_s")), 6).alias("flesch_reading_ease_score"),
-    )
-    cnt = N.piece_counts(df, keys, 3, text)
-    of = lambda n, x: F.when(F.col("n") == n, x)
-    entropy_ = lambda n: F.round(F.ln(F.sum(of(n, F.col("cnt")))) - F.sum(of(n, F.col("cnt") * F.ln("cnt"))) / F.sum(of(n, F.col("cnt"))), 6)
-    ones = F.sum(of(1, F.col("cnt")))
-    counted = cnt.groupBy(*keys).agg(
-        F.max(of(1, F.length("ngram"))).cast("long").alias("longest_word_length"), F.round(F.sum(of(1, F.length("ngram") * F.col("cnt"))) / ones, 6).alias("average_word_length"),
-        entropy_(1).alias("unigram_entropy"), entropy_(2).alias("bigram_entropy"), entropy_(3).alias("trigram_entropy"), F.round(F.count(of(1, F.lit(1))) / ones, 6).alias("type_token_ratio"),
+        F.array_max("_z").cast("long").alias("longest_word_length"), F.round(F.aggregate("_z", F.lit(0).cast("long"), lambda a, z: a + z) / F.size("_z"), 6).alias("average_word_length"),
+        F.round(array_entropy(F.col("_h")), 6).alias("unigram_entropy"), F.round(array_entropy(grams(2)), 6).alias("bigram_entropy"), F.round(array_entropy(grams(3)), 6).alias("trigram_entropy"),
+        F.round(F.size(F.array_distinct("_h")) / F.size("_h"), 6).alias("type_token_ratio"), F.round(reading_ease(F.col("_w"), F.size("_s")), 6).alias("flesch_reading_ease_score"),
     )
-    return plain.join(counted, keys).select(*keys, *FEATURES)
 
 
 def suffixed(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
@@ -180,6 +194,32 @@ def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return piece_features(df, [key]).join(corpus_distance(N.counts(df, 1, 2, key), key).withColumnRenamed("distance", "unigram_distance"), key, "left")
 
 
+def level(df: DataFrame, name: str, key: str = "doc_id", size: int = 100) -> DataFrame:
+    """A table of features: book, chunk, baac (books with the means of their chunks) or cacb (chunks with the features of their book)."""
+    book = suffixed(piece_features(df, [key]), [key], "full") if name != "chunk" else None
+    if name == "book":
+        return book
+    pieces = segment.chunk_rows(df, key, size=size).select(key, "chunk_idx", F.array_join("sentences", " ").alias("text"), "sentences")
+    chunk = suffixed(piece_features(pieces, [key, "chunk_idx"], sentences="sentences"), [key, "chunk_idx"], "chunk")
+    if name == "chunk":
+        return chunk
+    if name == "cacb":
+        return chunk.join(book, key)
+    # sums of whole millionths are exact in any order
+    mean = lambda c: F.floor(F.sum(F.round(F.col(c) * 1e6)) / F.count(c) + 0.5) / 1e6
+    return book.join(chunk.groupBy(key).agg(*[mean(f"{c}_chunk").alias(f"{c}_chunk") for c in FEATURES]), key)
+
+
+def levels(df: DataFrame, key: str = "doc_id", size: int = 100) -> dict[str, DataFrame]:
+    """The four tables of features."""
+    return {name: level(df, name, key, size) for name in ("book", "chunk", "baac", "cacb")}
+
+
+def merged(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, FEATURES, unigram_distance): the features of a document and its distance to the rest of the corpus, in one join on the key."""
+    return piece_features(df, [key]).join(corpus_distance(N.counts(df, 1, 2, key), key).withColumnRenamed("distance", "unigram_distance"), key, "left")
+
+
 def levels(df: DataFrame, key: str = "doc_id", size: int = 100) -> dict[str, DataFrame]:
     """The four tables of features: of books, of chunks, of books with the means of their chunks, and of chunks with those of their book."""
     book = written(suffixed(piece_features(df, [key]), [key], "full"))

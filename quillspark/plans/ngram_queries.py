@@ -9,9 +9,9 @@ from quillspark.operators import features as X
 from quillspark.operators import ngrams as N
 from quillspark.operators import segment
 from quillspark.plans.registry import register
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
-docs = lambda s, d: table(s, d, "documents")
+docs = lambda s, d: spread(table(s, d, "documents").select("doc_id", "text", "lang"))
 
 
 def grams_sql(n: int, min_df: int = 1) -> str:
@@ -128,7 +128,7 @@ for k, nm in ((1, "unigram"), (2, "bigram"), (3, "trigram")):
 register("ngram_tables", lambda s, d: N.piece_counts(docs(s, d), ["doc_id"]).groupBy("n").agg(F.count("*").alias("cells"), F.count_distinct("ngram").alias("ngrams"), F.count_distinct("doc_id").alias("texts")), "WITH " + ", ".join(grams_sql(n).replace("g0 AS", f"a{n} AS").replace("g AS (SELECT * FROM g0", f"b{n} AS (SELECT * FROM a{n}") for n in (1, 2, 3)) + " " + " UNION ALL ".join(f"SELECT {n} AS n, count(*) AS cells, count(DISTINCT ngram) AS ngrams, count(DISTINCT doc_id) AS texts FROM b{n}" for n in (1, 2, 3)))
 BOOKS = f"{BOOK}, {feats_sql('bk', 'doc_id')}"
 register("feature_merge", lambda s, d: X.merged(docs(s, d)), f"WITH {BOOKS}, {grams_sql(1, 2)}, {DIST[: DIST.rindex(') SELECT')]}), q AS ({DIST[DIST.rindex(') SELECT') + 2 :]}) SELECT f.*, q.distance AS unigram_distance FROM f LEFT JOIN q USING (doc_id)")
-level = lambda name: lambda s, d: X.levels(docs(s, d))[name]
+level = lambda name: lambda s, d: X.level(docs(s, d), name)
 with_suffix = lambda sfx, x="f": ", ".join(f"{x}.{c} AS {c}_{sfx}" for c in X.FEATURES)
 register("features_book", level("book"), f"WITH {BOOKS} SELECT doc_id, {with_suffix('full')} FROM f")
 CHUNKS_F = f"{BALANCED}, {feats_sql('bc', 'doc_id, chunk_idx')}, ch AS (SELECT * FROM f)"
