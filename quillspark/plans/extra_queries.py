@@ -23,9 +23,9 @@ from quillspark.plans.meta_queries import FA, MD, YEAR, fa, md, yr
 from quillspark.plans.ngram_queries import BALANCED, FCOLS, G1, TAG_SQL, chunks, uni
 from quillspark.plans.registry import register
 from quillspark.session import written
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
-docs = lambda s, d: table(s, d, "documents")
+docs = lambda s, d: spread(table(s, d, "documents"))
 union = lambda rows: reduce(DataFrame.unionByName, rows)
 
 # matrices and graphs

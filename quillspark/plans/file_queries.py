@@ -15,9 +15,9 @@ from quillspark.plans.registry import register
 from quillspark.plans.text_queries import SENTS
 from quillspark.session import shared_dir, written
 from quillspark.sources import files
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
-docs = lambda s, d: table(s, d, "documents")
+docs = lambda s, d: spread(table(s, d, "documents"))
 emb = lambda s, d: table(s, d, "embeddings")
 
 

@@ -11,9 +11,9 @@ from quillspark.operators.components import components
 from quillspark.plans.ngram_queries import G1
 from quillspark.plans.registry import register
 from quillspark.session import written
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
-docs = lambda s, d: table(s, d, "documents")
+docs = lambda s, d: spread(table(s, d, "documents"))
 WIDTH = 100
 
 # distances: the documents whose id is divisible by 100 against all documents

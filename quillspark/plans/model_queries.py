@@ -14,10 +14,10 @@ from quillspark.plans.ngram_queries import BALANCED, FCOLS
 from quillspark.plans.registry import register
 from quillspark.plans.text_queries import SENTS
 from quillspark.session import shared_dir, written
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 from quillspark.streaming import wordcount
 
-docs = lambda s, d: table(s, d, "documents")
+docs = lambda s, d: spread(table(s, d, "documents"))
 DENSITY = [("dbscan", "0.05-5"), ("dbscan", "0.02-3"), ("lpa", "0.9"), ("lpa", "0.95")]
 GRID = DENSITY + [("hierarchical", f"{n}-{m}") for n in (5, 10) for m in kernels.LINKAGES] + [("spectral", "5"), ("spectral", "10"), ("medoids", "5"), ("medoids", "10")] + [("louvain", str(r)) for r in (0.1, 1.0, 10.0)]
 

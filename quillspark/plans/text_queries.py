@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import segment
 from quillspark.plans.registry import register
-from quillspark.sources.tables import table
+from quillspark.sources.tables import spread, table
 
-docs = lambda s, d: table(s, d, "documents")
+docs = lambda s, d: spread(table(s, d, "documents"))
 LINES = "string_split(text, chr(10))"
 WS = r"[ \t\n\r\f]+"
 
-register("scan_documents", lambda s, d: docs(s, d).select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars")).orderBy("doc_id"), "SELECT doc_id, lang, source, length(text) AS n_chars FROM documents")
+register("scan_documents", lambda s, d: table(s, d, "documents").select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars")), "SELECT doc_id, lang, source, length(text) AS n_chars FROM documents")
 register("docs_by_length", lambda s, d: docs(s, d).select("doc_id", F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f]+"), F.lit(0))), F.lit(0)).cast("long").alias("n_tokens")).select("doc_id", F.greatest("n_tokens", F.lit(0)).alias("n_tokens")).orderBy("n_tokens", "doc_id"), r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f]+')), 0) AS n_tokens FROM documents")
 register("file_stem_parts", lambda s, d: table(s, d, "metadata").distinct().select("text_id", F.regexp_extract(F.concat(F.lit("text_raw/"), "lang", F.lit("/"), "file_name", F.lit(".txt")), r"([^/]+)\.[^.]*$", 1).alias("stem")), r"SELECT text_id, regexp_extract('text_raw/' || lang || '/' || file_name || '.txt', '([^/]+)\.[^.]*$', 1) AS stem FROM (SELECT DISTINCT * FROM metadata)")
 register("scan_embeddings", lambda s, d: table(s, d, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("sq_norm")), "SELECT vec_id, label, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS sq_norm FROM embeddings")
