@@ -76,7 +76,7 @@ def backbone(edges: DataFrame, k: int, least: int) -> DataFrame:
     return simmelian(edges, k).where(F.col("overlap") >= least).select("src", "dst", "w")
 
 
-def degrees(edges: DataFrame, digits: int = 4) -> DataFrame:
+def degrees(edges: DataFrame, digits: int = 6) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.round(F.sum("w"), digits).alias("strength"))
 
 

@@ -105,7 +105,7 @@ def edge_counts(s, d):
 
 
 register("edge_counts", edge_counts, f"WITH {SIM}, cut AS (SELECT quantile_cont(w, 0.9) AS q FROM e WHERE src < dst), o AS (SELECT split_part(src, '/', 1) AS a, min(w) AS m FROM e WHERE split_part(src, '/', 1) = split_part(dst, '/', 1) GROUP BY 1) SELECT 'full' AS mode, count(*) AS n_edges FROM e UNION ALL SELECT 'threshold', count(*) FROM e, cut WHERE w >= q UNION ALL SELECT 'authormin', count(*) FROM e JOIN o ON split_part(src, '/', 1) = a WHERE w >= m UNION ALL SELECT 'simmel', count(*) FROM so WHERE overlap >= 5")
-register("degree_distribution", lambda s, d: G.degrees(cut(s, d)), f"WITH {CUT} SELECT src AS node, count(*) AS degree, round(sum(w), 4) AS strength FROM t GROUP BY src")
+register("degree_distribution", lambda s, d: G.degrees(cut(s, d)), f"WITH {CUT} SELECT src AS node, count(*) AS degree, round(sum(w), 6) AS strength FROM t GROUP BY src")
 register("is_symmetric", lambda s, d: G.asymmetric(G.backbone(net(s, d), 10, 5)), f"WITH {SIM}, b AS (SELECT * FROM so WHERE overlap >= 5) SELECT count(*) AS n FROM b WHERE NOT EXISTS (SELECT 1 FROM b c WHERE c.src = b.dst AND c.dst = b.src AND c.w = b.w)")
 
 
