@@ -29,6 +29,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Characters of text in a block, and documents: a block's dictionary and positions stay within a few MB.
 BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 8192
+#: Ids put into bytes at once.
+DECODED_IDS = 500_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -170,16 +172,47 @@ def token_bytes(spark: SparkSession, vocabulary: str | None = None) -> DataFrame
     return spark.createDataFrame(rows, "id int, bytes binary")
 
 
+def _byte_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and size of the bytes of each id, and all bytes; an id that the vocabulary doesn't have, as the last one, has none."""
+    sizes = np.zeros(max(ranks.values(), default=-1) + 2, dtype=np.int64)
+    for b, i in ranks.items():
+        sizes[i] = len(b)
+    data = b"".join(sorted(ranks, key=ranks.get))
+    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(data, dtype=np.uint8)
+
+
+def _decode(shared, id_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, sizes, data = shared.value
+        none = len(sizes) - 1
+        for b in batches:
+            lists = b.column(1)
+            ids = lists.flatten().fill_null(none).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids[(ids < 0) | (ids > none)] = none
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+            k = 0
+            while k < len(b):
+                m = max(k + 1, int(np.searchsorted(ends, ends[k] + DECODED_IDS, side="right")) - 1)
+                part = ids[ends[k] : ends[m]]
+                per = sizes[part]
+                upto = np.concatenate(([0], np.cumsum(per)))
+                values = data[np.repeat(starts[part] - upto[:-1], per) + np.arange(upto[-1])]
+                bounds = upto[ends[k : m + 1] - ends[k]].astype(np.int32)
+                texts = pa.Array.from_buffers(pa.binary(), m - k, [None, pa.py_buffer(bounds), pa.py_buffer(values)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, m - k), texts], [id_name, "_bytes"])
+                k = m
+
+    return run
+
+
 def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
-    """(id_col, text) from (id_col, ids): the token-byte table is joined to the exploded ids and the bytes
-    put together by position. An empty or null list gives an empty text; bytes that are no UTF-8 are
-    replaced as Spark replaces them. Rows are told apart by a row number of their own, so repeated ids stay apart.
+    """(id_col, text) from (id_col, ids): each id is looked up in the token-byte table where its list lies, and
+    the bytes stay in their order, so nothing is exploded or shuffled. An empty or null list gives an empty text;
+    a null or unknown id gives no bytes; bytes that are no UTF-8 are treated as Spark's decode treats them.
 
-    The vocabulary (50 256 rows, under 1 MB) is broadcast: its size does not depend on the corpus.
+    The table (50 256 rows, under 1 MB) is broadcast: its size does not depend on the corpus.
     """
-    rows = encoded.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), "ids")
-    flat = rows.select(id_col, "_row", F.posexplode_outer("ids").alias("_pos", "id"))
-    joined = flat.join(F.broadcast(token_bytes(encoded.sparkSession, vocabulary)), "id", "left")
-    parts = joined.groupBy("_row", id_col).agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("bytes", F.lit(b"")).alias("bytes")))).alias("_parts"))
-    whole = F.aggregate("_parts", F.lit("").cast("binary"), lambda s, x: F.concat(s, x["bytes"]))
-    return parts.select(id_col, F.decode(whole, "UTF-8").alias("text"))
+    shared = encoded.sparkSession.sparkContext.broadcast(_byte_table(_ranks(vocabulary or vocabulary_path())))
+    kind = encoded.schema[id_col].dataType.simpleString()
+    whole = encoded.select(id_col, "ids").mapInArrow(_decode(shared, id_col), f"`{id_col}` {kind}, _bytes binary")
+    return whole.select(id_col, F.decode("_bytes", "UTF-8").alias("text"))

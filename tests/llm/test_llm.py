@@ -35,6 +35,20 @@ def test_ids_equal_the_library(spark):
     assert tokenize.encode_corpus(df.where("doc_id < 0")).count() == 0
 
 
+def test_decoding_shuffles_nothing(spark, monkeypatch):
+    """Ids become text where they lie, in slices; null lists, null and unknown ids and repeated keys keep their rows."""
+    monkeypatch.setattr(tokenize, "DECODED_IDS", 5, raising=False)
+    word = {i: b for b, i in tokenize._ranks(tokenize.vocabulary_path()).items()}
+    plain = [i for i in sorted(word) if word[i].isascii()][:40]
+    rows = [(1, plain), (1, plain[:3]), (None, plain[3:5]), (2, None), (3, []), (4, [plain[0], None, -1, 10**9, plain[1]]), (5, plain[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    out = tokenize.decode_corpus(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    want = [(k, b"".join(word.get(i, b"") for i in ids or []).decode()) for k, ids in rows]
+    assert [tuple(r) for r in out.coalesce(1).collect()] == want
+
+
 # 4 oversized items
 T = "text_id long, text string, received_at string, overlap_tokens int"
 L = "text_id long, tokens_per_chunk int, overlap_tokens int, computed_at string, text string"
