@@ -101,6 +101,29 @@ def test_distances_in_blocks(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_a_task_keeps_the_nearest_of_all_its_rows(spark):
+    """Of many batches a task gives away k rows a query, not k a batch; pairs found by sums are those of the kernel."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((600, 12)) * (rng.random((600, 12)) < 0.4), 2)
+    x[300:330] = x[:30]
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "_key long, vec array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        for m in ("burrows", "canberra", "cosinedelta", "linear", "euclid"):
+            got = distance.against(v, v.where("_key % 60 = 0").withColumn("k", F.lit(4)), m, k="k").collect()
+            all_ = distance.against(v, v.where("_key % 60 = 0"), m).collect()
+            want = []
+            for q in range(0, 600, 60):
+                mine = [tuple(r) for r in all_ if r["query"] == q]
+                assert len(mine) == 600
+                last = sorted(d for _, _, d in mine)[3]
+                want += [r for r in mine if r[2] <= last]
+            assert sorted(map(tuple, got)) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_overlap_of_a_large_book(spark):
     rng = np.random.default_rng(6)
     x = [(i, "big" if i < 40 else f"b{i % 4}", [float(v) for v in rng.random(3)]) for i in range(80)]
