@@ -124,6 +124,25 @@ def test_a_task_keeps_the_nearest_of_all_its_rows(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_widths_in_one_pass(spark, monkeypatch):
+    """Sparse vectors, over any number of blocks and parts of queries, give what dense ones give a width."""
+    rng = np.random.default_rng(9)
+    text = [(i, " ".join(f"w{int(w)}" for w in rng.zipf(1.3, 30) % 200)) for i in range(60)]
+    cnt = ngrams.counts(spark.createDataFrame(text, "doc_id long, text string")).cache()
+    sparse, words = ngrams.sparse_vectors(cnt, 80)
+    sparse = sparse.cache()
+    want = set()
+    for w in (10, 40, 500):
+        v = ngrams.vectors(cnt, min(w, 80))[0]
+        want |= {(w, *tuple(r)) for r in distance.nearest(v, v.where("doc_id % 4 = 0"), "burrows", 2).select("doc_id", "other", "value").collect()}
+    monkeypatch.setattr(distance, "SPARSE_BLOCK", 4)
+    monkeypatch.setattr(distance, "QUERIES", 6)
+    got = distance.nearest_widths(sparse, sparse.where("doc_id % 4 = 0"), words.count(), (10, 40, 500), 2)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 90
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan  # no vector is made dense by Spark
+
+
 def test_overlap_of_a_large_book(spark):
     rng = np.random.default_rng(6)
     x = [(i, "big" if i < 40 else f"b{i % 4}", [float(v) for v in rng.random(3)]) for i in range(80)]
