@@ -143,6 +143,17 @@ def test_widths_in_one_pass(spark, monkeypatch):
     assert "sequence(" not in plan  # no vector is made dense by Spark
 
 
+def test_cross_check_joins_no_pairs(spark):
+    from conftest import DATA
+    from quillspark.plans import registry
+
+    out = registry.queries()["metric_cross_check"](spark, DATA)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan  # only one-row tables are put beside the rows
+    n, agree = out.first()
+    assert n > 0 and agree
+
+
 def test_overlap_of_a_large_book(spark):
     rng = np.random.default_rng(6)
     x = [(i, "big" if i < 40 else f"b{i % 4}", [float(v) for v in rng.random(3)]) for i in range(80)]
