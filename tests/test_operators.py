@@ -154,6 +154,26 @@ def test_cross_check_joins_no_pairs(spark):
     assert n > 0 and agree
 
 
+def test_two_ways_measure_every_pair(spark, tmp_path):
+    """Both ways give the sums of the gaps in single and double precision, a difference is seen, and no pairs agree as in SQL."""
+    from quillspark.plans import registry
+
+    rng = np.random.default_rng(10)
+    for least in (0.0, 1000.0):  # the second is summed in double precision
+        x = rng.random((90, 7)) * (rng.random((90, 7)) < 0.4) + least
+        v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "_key long, vec array<double>")
+        sd = x.std(axis=0, ddof=1)
+        want = np.abs(x[:, None] / sd - x[None] / sd).mean(axis=2)
+        for part in (v.where("_key % 3 = 0"), v.where("_key < 0")):
+            got = distance.two_ways(v, part, sd).collect()
+            n = part.count()
+            assert sum(r["n"] for r in got) == n * 89 and max(r["gap"] for r in got) < 1e-5
+            assert max(r["top"] for r in got) == pytest.approx(want[::3].max() if n else 0, abs=1e-5)
+        assert max(r["gap"] for r in distance.two_ways(v, v.where("_key % 3 = 0"), sd * 1e-4).collect()) > 1
+    spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert tuple(registry.queries()["metric_cross_check"](spark, str(tmp_path)).first()) == (0, True)
+
+
 def test_overlap_of_a_large_book(spark):
     rng = np.random.default_rng(6)
     x = [(i, "big" if i < 40 else f"b{i % 4}", [float(v) for v in rng.random(3)]) for i in range(80)]
